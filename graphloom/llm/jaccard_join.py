@@ -183,7 +183,7 @@ def bloom_filter(ids: DataFrame) -> np.ndarray:
     return out.view(U64)
 
 
-def _may_hold(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def may_hold(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
     bits = _bloom_bits(ids)
     return ((words[(bits >> U64(6)).astype(np.int64)] >> (bits & U64(63))) & U64(1)).all(0)
 
@@ -197,7 +197,7 @@ def _sets(k: int, bloom):
                 ends = np.concatenate([[0], np.cumsum(size)])
                 sid = _set_ids(size, h, doc)
                 first = np.unique(sid, return_index=True)[1]
-                first = first[(size[first] > 0) & _may_hold(bloom.value, sid[first])]
+                first = first[(size[first] > 0) & may_hold(bloom.value, sid[first])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(sid[first]), pa.array([h[ends[i] : ends[i + 1]].tobytes() for i in first], pa.binary())], ["set_id", "members"]
                 )

@@ -20,6 +20,9 @@ _POW = (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64))
 _PLACE = (_RNG.randint(0, 2**62, 16, dtype=np.int64).astype(U64) << U64(1)) | U64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Everything but ASCII letters, digits and bytes of longer code points.
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[48:58] = NOT_ALNUM[65:91] = NOT_ALNUM[97:123] = NOT_ALNUM[128:] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes of text that are hashed at once.
@@ -61,9 +64,9 @@ def _raise(size: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a slice of documents: hash, byte range and document of each."""
 
-    __slots__ = ("data", "doc", "end", "first", "hash", "n_docs", "start")
+    __slots__ = ("_down", "_total", "data", "doc", "end", "first", "hash", "n_docs", "start")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, between: np.ndarray = _SPACE):
         self.n_docs = len(offsets) - 1
         base, stop = int(offsets[0]), int(offsets[-1])
         data = data[base:stop]
@@ -72,7 +75,7 @@ class Words:
         offsets = offsets - base
         n = len(data)
         self.data = data
-        solid = ~_SPACE[data]
+        solid = ~between[data]
         cut = np.zeros(n + 1, bool)
         cut[offsets] = True
         before = np.empty(n, bool)
@@ -90,9 +93,10 @@ class Words:
             total = np.empty(n + 1, U64)
             total[0] = 0
             np.cumsum(_BYTE[data] * up[:n], out=total[1:])
+            self._total, self._down = total, down
             self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(U64))
         else:
-            self.hash = np.zeros(0, U64)
+            self._total, self._down, self.hash = np.zeros(1, U64), np.zeros(0, U64), np.zeros(0, U64)
         #: Index of each document's first word, and one past the last document's.
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(self.n_docs), np.diff(self.first))
@@ -100,6 +104,12 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def prefixes(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, document) of the first ``length`` bytes of each longer word."""
+        long = self.end - self.start > length
+        a, doc = self.start[long], self.doc[long]
+        return mix((self._total[a + length] - self._total[a]) * self._down[a] + U64(length) * _PLACE[14]), doc
+
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash, document) of each run of ``k`` words, in text order.
 
@@ -158,8 +168,8 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         a = b
 
 
-def word_slices(column: pa.Array, lower: bool = True, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, Words]]:
-    """(first document, end, its words) over a text column."""
+def word_slices(column: pa.Array, lower: bool = True, limit: int = SLICE_BYTES, between: np.ndarray = _SPACE) -> Iterator[tuple[int, int, Words]]:
+    """(first document, end, its words) over a text column; ``between`` says which bytes part words."""
     data, offsets = text_buffers(column)
     for a, b in slices(offsets, limit):
-        yield a, b, Words(data, offsets[a : b + 1], lower)
+        yield a, b, Words(data, offsets[a : b + 1], lower, between)
