@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .scratch import shared_dir
+
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node that each linked node reaches.
@@ -14,6 +16,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     A node with a very large number of links is never gathered: both stars are a
     minimum per node joined back on the links.
     """
+    shared_dir(links.sparkSession)
     edges = links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
     for _ in range(max_rounds):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -312,3 +312,13 @@ def _settle(regions: DataFrame, links: DataFrame, labels: DataFrame, sets: DataF
         links = links.unionByName(_links(found, num, den))
     links = links.checkpoint()
     return links, connected_components(links).checkpoint()
+
+
+def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The row of the smallest doc_id of each component, with all its columns.
+
+    Of repeated rows with that doc_id one stays; rows without a doc_id all stay.
+    """
+    first = jaccard_components(docs, k, num, den).filter("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
+    kept = docs.join(first, F.col("doc_id").cast("long") == F.col("__first")).drop("__first").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id is null"))

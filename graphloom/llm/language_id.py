@@ -210,14 +210,15 @@ def training_texts(docs: DataFrame, sample: int = SAMPLE) -> dict[str, list[str]
 _state: dict = {}
 
 
-def _predict(model, key: int):
+def _predict(model, key: int, with_text: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         if _state.get("key") != key:
             _state.update(key=key, hash=np.zeros(0, np.uint64), log=np.zeros((0, len(m.languages)), np.float32))
         names = pa.array([*m.languages, UNDETERMINED])
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(batch.schema.get_field_index("text"))
+            kept = [i for i, name in enumerate(batch.schema.names) if name != "text" or with_text]
             for a, b, w in word_slices(texts, limit=4 << 20):
                 seen, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
                 known, log = _state["hash"], _state["log"]
@@ -238,7 +239,10 @@ def _predict(model, key: int):
                     t = texts[a + i].as_py()
                     if t is None or not any(map(str.isalpha, t)):
                         best[i], score[i] = len(m.languages), 0.0
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), names.take(pa.array(best)), pa.array(score)], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i).slice(a, b - a) for i in kept), names.take(pa.array(best)), pa.array(score)],
+                    [*(batch.schema.names[i] for i in kept), "lang_pred", "score"],
+                )
 
     return run
 
@@ -257,8 +261,22 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return base.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), key), "doc_id long, lang_pred string, score double")
 
 
+def _learn(docs: DataFrame, model_path: str) -> Model:
+    texts = training_texts(docs)
+    return fit(texts, vocabulary(model_path)) if texts else Model([], Trie.of([]), np.zeros((256, 0)))
+
+
 def identify(docs: DataFrame, model_path: str) -> DataFrame:
     """Learn from the labelled fold of ``docs``, then predict every row."""
-    texts = training_texts(docs)
-    model = fit(texts, vocabulary(model_path)) if texts else Model([], Trie.of([]), np.zeros((256, 0)))
-    return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict(docs, _learn(docs, model_path)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, model_path: str) -> DataFrame:
+    """The rows of ``docs`` whose text has a language, with all their columns and no shuffle."""
+    model = _learn(docs, model_path)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike("\\p{L}"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __lang_pred string, __score double"
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.mapInArrow(_predict(shared, zlib.crc32(model.p.tobytes()), with_text=True), schema)
+    return rows.filter(F.col("__lang_pred") != UNDETERMINED).drop("__lang_pred", "__score")
