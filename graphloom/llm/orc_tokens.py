@@ -7,13 +7,14 @@ stripe and row group, and a Bloom filter on doc_id; a reader takes stripes in
 parallel and skips those that can't hold the ids it looks for.
 
 Encoding is that of the ``tokenizers`` library. White space never lies inside a
-pre-token of this vocabulary, so a chunk between ASCII white space is encoded
-once and remembered, within a bounded cache; each miss goes through the library.
+pre-token of this vocabulary, so a chunk between ASCII white space, in lower
+case, is encoded once and remembered, within a bounded cache; each miss goes through the library.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -22,18 +23,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .scratch import fresh_path, materialize
+from .textops import word_slices
 
 END_ID = 1
-#: Chunks that a Python worker remembers; it starts anew beyond that.
-CACHE = 500_000
+#: Chunks that a Python worker remembers, in each of two generations.
+CACHE = 700_000
 ROW_GROUP = 1000
 STRIPE_BYTES = 16 << 20
 
+# Byte-level vocabularies show the bytes that don't print as the code points from 256 on.
+_PRINT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_PRINT))}
+
 _encoders: dict[int, "_Chunks"] = {}
 
 
 class _Chunks(dict):
-    """ids of a white-space-free chunk, as bytes of little-endian 32-bit integers."""
+    """ids of a white-space-free chunk, as bytes of little-endian 32-bit integers.
+
+    When a generation is full it becomes the old one; chunks that are met again
+    move on to the new one, the others are forgotten with the old one.
+    """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
@@ -41,24 +51,29 @@ class _Chunks(dict):
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.model = self.tokenizer.model
+        self.old: dict[bytes, bytes] = {}
 
     def __missing__(self, chunk: bytes) -> bytes:
+        out = self.old.pop(chunk, None)
+        if out is None:
+            stem = chunk.rstrip(b".,!?;:")
+            letters = stem.decode()
+            # One pre-token, whose only normalisation is to lower case: letters below U+0180.
+            plain = letters.isalpha() and (stem.isascii() or (max(letters) < "\u0180" and "\u0130" not in letters))
+            if not plain:
+                ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
+                out = array("I", ids).tobytes()
+            elif len(stem) < len(chunk):  # the signs are a pre-token of their own
+                out = self[stem] + self[chunk[len(stem) :]]
+            else:
+                shown = letters if stem.isascii() else letters.lower().encode().decode("latin-1").translate(_SHOWN)
+                out = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
-        stem = chunk.rstrip(b".,!?;:")
-        if stem.isalpha():  # ASCII letters, and signs that are a pre-token of their own
-            ids = [t.id for t in self.model.tokenize(stem.decode())]
-            out = np.array(ids, "<u4").tobytes()
-            if len(stem) < len(chunk):
-                out += self._whole(chunk[len(stem) :])
-        else:
-            out = self._whole(chunk)
         self[chunk] = out
         return out
 
-    def _whole(self, chunk: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
 
 def _encode(vocabulary, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,19 +84,21 @@ def _encode(vocabulary, end_id: int):
         chunks = _encoders[key]
         get, end = chunks.__getitem__, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            texts, at = batch.column(1), 0
-            while at < len(texts):
-                ids, size, a = [], 0, at
-                while at < len(texts) and size < 16 << 20:
-                    text = texts[at].as_py()
-                    ids.append(b"".join(map(get, text.encode().lower().split())) + end if text else end)
-                    size += len(ids[-1])
-                    at += 1
-                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
-                values = pa.array(np.frombuffer(b"".join(ids), np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, at - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["doc_id", "ids"]
-                )
+            for a, b, w in word_slices(batch.column(1), limit=4 << 20):
+                # A slice's distinct chunks are looked up once each, and laid out by index.
+                _, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
+                raw = w.data.tobytes()
+                found = [get(raw[s:e]) for s, e in zip(w.start[first].tolist(), w.end[first].tolist())] + [end]
+                size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+                flat = np.frombuffer(b"".join(found), np.int32)
+                which = np.insert(which, w.first[1:], len(found) - 1)  # each document's end
+                words_upto = w.first + np.arange(w.n_docs + 1)
+                count = size[which]
+                upto = np.concatenate([[0], np.cumsum(count)])
+                begin = np.cumsum(size) - size
+                ids = flat[np.repeat(begin[which] - upto[:-1], count) + np.arange(upto[-1])]
+                lists = pa.ListArray.from_arrays(pa.array(upto[words_upto], pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["doc_id", "ids"])
 
     return run
 
