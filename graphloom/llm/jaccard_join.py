@@ -14,13 +14,15 @@ triangle inequality does prune, and document pivots work inside the regions:
    largest D that a link allows in a band of sizes; a document near the top of
    its band is replicated to the next band, where a larger partner may lie.
 2. *Pivots.* In a region the smallest set id is the pivot; every member is
-   compared with it, and a few neighbours with each other (all pairs where a
-   region has at most ``NEAR + 1`` members).
+   paired with it, and with its neighbour. A pair whose parts differ in more places than the
+   largest D that its sizes allow can't link (a byte a part tells). Of the other
+   pairs each set is first compared with the partner that is alike in most parts,
+   on whole sets; then those pairs that still lie in two components.
 3. *Voronoi cells.* Regions that aren't settled (members in several components)
-   fold into the cell of their pivot's component. Distances of all members to
-   the cell's pivot are known, so an outsider z is compared with member y only if
-   ``|d(p, y) - d(p, z)| <= r``. Outsiders serve as the next pivots, round by
-   round, until none is left.
+   fold into the cell of their pivot's component. Outsiders, members of other
+   components, serve as the next pivots, round by round, until none is left; a
+   member is compared with an outsider only where their sizes and the distances
+   in their coordinates leave room for a link (the triangle-inequality window).
 
 Proof of exactness for components: a link lies in a common region (1); there it
 is either tested, or both ends join the pivot's component, or one end is an
@@ -43,7 +45,7 @@ from .scratch import materialize
 from .textops import U64, distinct_by_doc, mix, word_slices
 
 #: Neighbours, beside the pivot, that a region's member is compared with.
-NEAR = 6
+NEAR = 1
 #: Outsiders of a cell that serve as pivots in one round.
 ROUND_PIVOTS = 32
 #: log2 of the bits of the candidates' Bloom filter: 1 MB at any input size.
@@ -60,11 +62,11 @@ def size_bands(largest: int) -> np.ndarray:
     return np.array(ends + [int(ends[-1] * 1.6) + 1], np.int64)
 
 
-def _regions(size: np.ndarray, h: np.ndarray, doc: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(region key, document) of every document of a slice with at least one shingle."""
+def _regions(size: np.ndarray, h: np.ndarray, doc: np.ndarray, num: int, den: int):
+    """(region key, document) of every document of a slice with at least one shingle; its bands' parts, a byte each."""
     ends = size_bands(int(size.max(initial=1)))
     band = np.searchsorted(ends, size, side="right") - 1
-    keys, owners = [], []
+    keys, owners, marks = [], [], []
     for step in (0, 1):
         b = band + step
         use = size > 0
@@ -87,9 +89,12 @@ def _regions(size: np.ndarray, h: np.ndarray, doc: np.ndarray, num: int, den: in
         hollow = np.bincount(owner[count == 0], minlength=len(size)) > slack
         keep = (count > 0) | hollow[owner]
         tag = (b[owner].astype(U64) << U64(40)) + number.astype(U64)
-        keys.append(mix(total + mix(tag))[keep])
+        key = mix(total + mix(tag))
+        keys.append(key[keep])
         owners.append(owner[keep])
-    return np.concatenate(keys), np.concatenate(owners)
+        raw = (key >> U64(56)).astype(np.uint8).tobytes()
+        marks.append([raw[i:j] for i, j in zip(base[:-1].tolist(), base[1:].tolist())])
+    return np.concatenate(keys), np.concatenate(owners), band, marks
 
 
 def _set_ids(size: np.ndarray, h: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -110,15 +115,18 @@ def _sketch(k: int, num: int, den: int):
                 first = np.zeros(words.n_docs, bool)
                 first[np.unique(sid, return_index=True)[1]] = True
                 keep = first[doc]
-                keys, owner = _regions(np.where(first, size, 0), h[keep], doc[keep], num, den)
+                keys, owner, band, marks = _regions(np.where(first, size, 0), h[keep], doc[keep], num, den)
                 order = np.argsort(owner, kind="stable")
                 lists = pa.ListArray.from_arrays(
                     np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=words.n_docs))]).astype(np.int32),
                     pa.array(keys[order].view(np.int64)),
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(sid, mask=size == 0), lists],
-                    ["doc_id", "n_shingles", "set_id", "regions"],
+                    [
+                        ids.slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(sid, mask=size == 0), lists,
+                        pa.array(band.astype(np.int32)), *(pa.array(m, pa.binary()) for m in marks),
+                    ],
+                    ["doc_id", "n_shingles", "set_id", "regions", "band", "own", "over"],
                 )
 
     return run
@@ -245,21 +253,28 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = materialize(
-        base.mapInArrow(_sketch(k, num, den), "doc_id long, n_shingles long, set_id long, regions array<long>"), "jaccard-sketch"
+        base.mapInArrow(_sketch(k, num, den), "doc_id long, n_shingles long, set_id long, regions array<long>, band int, own binary, over binary"), "jaccard-sketch"
     )
     postings = sketch.select(F.explode("regions").alias("region"), "set_id")
     runs = materialize(
         postings.repartition("region").sortWithinPartitions("region", "set_id").mapInArrow(_pairs_of_runs, "kind int, a long, b long"),
         "jaccard-runs",
     )
-    pairs = materialize(runs.filter("kind = 0").select("a", "b").distinct(), "jaccard-pairs")
+    marks = sketch.filter("length(own) > 0").select("set_id", "n_shingles", "band", "own", "over").dropDuplicates(["set_id"])
+    likely = materialize(_likely(runs.filter("kind = 0").select("a", "b").distinct(), marks, num, den), "jaccard-likely")
+    regions = runs.filter("kind = 1").select(F.col("a").alias("region"), F.col("b").alias("set_id"))
     # The sets of candidates only, hashed again from their texts.
-    bloom = docs.sparkSession.sparkContext.broadcast(bloom_filter(pairs.select(F.explode(F.array("a", "b")).alias("set_id"))))
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(regions.select("set_id"))
+    bloom = docs.sparkSession.sparkContext.broadcast(bloom_filter(wanted))
     sets = materialize(base.select("text").mapInArrow(_sets(k, bloom), "set_id long, members binary").dropDuplicates(["set_id"]), "jaccard-sets")
-    tested = materialize(_distances(pairs, sets), "jaccard-tested")
+    best = likely.groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a"))
+    tested = materialize(_distances(best.select("a", "b"), sets), "jaccard-tested")
+    labels = connected_components(_links(tested, num, den)).checkpoint()
+    apart = _apart(likely.join(tested.select("a", "b"), ["a", "b"], "left_anti"), labels)
+    tested = materialize(tested.unionByName(_distances(apart, sets)), "jaccard-tested")
     links = _links(tested, num, den)
     labels = connected_components(links).checkpoint()
-    links, labels = _settle(runs.filter("kind = 1").select(F.col("a").alias("region"), F.col("b").alias("set_id")), links, labels, sets, num, den)
+    links, labels = _settle(regions, links, labels, marks, sets, num, den)
 
     known = sketch.select("doc_id", "n_shingles", "set_id")
     classes = known.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("class_id"))
@@ -272,46 +287,66 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     return with_text.unionByName(known.filter("set_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def _unequal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, n_a, n_b, parts that differ), from rows with both sets' bands and marks."""
+    for batch in batches:
+        a, b, na, nb, ba, bb, ua, ub, va, vb = batch.columns
+        out = []
+        for i, (p, q) in enumerate(zip(ba.to_pylist(), bb.to_pylist())):
+            x, y = (ua if p >= q else va)[i], (ub if q >= p else vb)[i]
+            x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+            out.append(int((x != y).sum()) if abs(p - q) <= 1 and len(x) == len(y) else 1 << 40)
+        yield pa.RecordBatch.from_arrays([a, b, na, nb, pa.array(out, pa.int64())], ["a", "b", "n_a", "n_b", "unequal"])
+
+
+def _likely(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, n_a, n_b, alike) of the pairs that may link.
+
+    The symmetric difference is at least the number of parts that differ.
+    """
+    named = ("set_id", "n_shingles", "band", "own", "over")
+    x, y = (marks.select(*(F.col(c).alias(f"{c}_{side}") for c in named)) for side in "ab")
+    rows = pairs.join(x, F.col("a") == F.col("set_id_a")).join(y, F.col("b") == F.col("set_id_b"))
+    rows = rows.filter(F.least("n_shingles_a", "n_shingles_b") * den >= F.greatest("n_shingles_a", "n_shingles_b") * num)
+    rows = rows.select("a", "b", *(f"{c}_{side}" for c in named[1:] for side in "ab"))
+    out = rows.mapInArrow(_unequal, "a long, b long, n_a long, n_b long, unequal long")
+    total = F.col("n_a") + F.col("n_b")
+    return out.filter(F.col("unequal") <= F.floor(total * (den - num) / (den + num))).select("a", "b", "n_a", "n_b", (-F.col("unequal") / total).alias("alike"))
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose sets lie in two components."""
+    x, y = (labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}")) for side in "ab")
+    return pairs.join(x, "a", "left").join(y, "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
+
 def _links(tested: DataFrame, num: int, den: int) -> DataFrame:
     return tested.filter(F.col("common") * den >= (F.col("n_a") + F.col("n_b") - F.col("common")) * num).select("a", "b")
 
 
-def _settle(regions: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int):
+def _settle(regions: DataFrame, links: DataFrame, labels: DataFrame, marks: DataFrame, sets: DataFrame, num: int, den: int):
     """Step 3: cells of the regions whose members lie in several components."""
-    label_of = labels.withColumnRenamed("node", "set_id")
-    named = regions.join(label_of, "set_id", "left").select("region", "set_id", F.coalesce("label", "set_id").alias("label"))
+    named = regions.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("region", "set_id", F.coalesce("label", "set_id").alias("label"))
     open_ = named.groupBy("region").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(F.struct("set_id", "label")).alias("p"))
     open_ = open_.filter("l0 != l1").select("region", F.col("p.label").alias("cell"))
     cells = materialize(named.join(open_, "region").select("cell", "set_id", "label").distinct(), "jaccard-cells")
     if cells.isEmpty():
         return links, labels
-    radius = 1.0 - num / den + 1e-9
-    # every member's distance to its cell's pivot, the set whose id names the cell
-    from_pivot = _distances(cells.filter("cell != set_id").select(F.col("cell").alias("a"), F.col("set_id").alias("b")), sets)
-    far = from_pivot.select(
-        F.col("a").alias("cell"), F.col("b").alias("set_id"),
-        (1.0 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("d"),
-        F.col("n_b").alias("n"),
+    # Distance to the cell's pivot: sizes are known, and parts that differ bound it from below.
+    outside = cells.filter("label != cell").withColumn(
+        "turn", F.floor((F.row_number().over(Window.partitionBy("cell").orderBy("set_id")) - 1) / ROUND_PIVOTS)
     )
-    cells = materialize(cells.join(far, ["cell", "set_id"]), "jaccard-cells")
-    outside = cells.filter("label != cell").select("cell", "set_id", "d", "n", "label")
-    outside = materialize(
-        outside.withColumn("turn", F.floor((F.row_number().over(Window.partitionBy("cell").orderBy("set_id")) - 1) / ROUND_PIVOTS)), "jaccard-outside"
-    )
-    rounds = outside.agg(F.max("turn")).first()[0]
-    for turn in range(0 if rounds is None else int(rounds) + 1):
-        z = outside.filter(F.col("turn") == turn).select(
-            "cell", F.col("set_id").alias("z"), F.col("d").alias("dz"), F.col("n").alias("nz"), F.col("label").alias("lz")
-        )
-        now = cells.join(z, "cell").filter(
-            (F.col("label") != F.col("lz")) & (F.abs(F.col("d") - F.col("dz")) <= radius)
-            & (F.least("n", "nz") * den >= F.greatest("n", "nz") * num)
-            & ((F.col("label") == F.col("cell")) | (F.col("set_id") > F.col("z")))
-        )
-        found = materialize(_distances(now.select(F.least("z", "set_id").alias("a"), F.greatest("z", "set_id").alias("b")).distinct(), sets), "jaccard-found")
-        links = links.unionByName(_links(found, num, den))
-    links = links.checkpoint()
-    return links, connected_components(links).checkpoint()
+    outside = materialize(outside, "jaccard-outside")
+    for turn in range(outside.agg(F.max("turn")).first()[0] + 1):
+        z = outside.filter(F.col("turn") == turn).select("cell", F.col("set_id").alias("z"), F.col("label").alias("lz"))
+        now = cells.join(z, "cell").filter((F.col("label") != F.col("lz")) & ((F.col("label") == F.col("cell")) | (F.col("set_id") > F.col("z"))))
+        pairs = now.select(F.least("z", "set_id").alias("a"), F.greatest("z", "set_id").alias("b")).distinct()
+        likely = _apart(_likely(pairs, marks, num, den).select("a", "b"), labels)
+        found = materialize(_links(_distances(likely, sets), num, den), "jaccard-found")
+        if not found.isEmpty():
+            links = links.unionByName(found).checkpoint()
+            labels = connected_components(links).checkpoint()
+    return links, labels
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
