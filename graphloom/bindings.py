@@ -1,11 +1,347 @@
-"""Queries over the driver's tables, each a binding of one operator."""
+"""Queries over the driver's tables, each a binding of one operator, and their DuckDB SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import config as C
+from .functions import redact as R
+from .functions import text as T
+from .operators import graph, link, select as S
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+INTERNAL = ("example.org",)
+
+_HOST = r"""regexp_replace(list_extract(string_split(regexp_extract(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.\-]*://', ''), '^([^/?#]*)', 1), '@'), -1), ':[0-9]+$', '')"""
+
+
+def _list(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def query(sql: str | None = None):
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- scalar functions
+
+
+@query(f"SELECT page_id, {_HOST} AS host, split_part({_HOST}, '.', 1) AS label FROM pages")
+def host_forms(spark, sf):
+    host = T.service_host(F.col("url"))
+    return table(spark, sf, "pages").select("page_id", host.alias("host"), T.first_label(host).alias("label"))
+
+
+@query(f"""WITH h AS (SELECT page_id, string_split({_HOST}, '.') AS p FROM pages)
+SELECT page_id, unnest([array_to_string(p[i:], '.') FOR i IN range(2, len(p) + 1)]) AS suffix FROM h""")
+def dotted_suffixes(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.explode(T.dotted_suffixes(T.service_host(F.col("url")))).alias("suffix"))
+
+
+@query(f"""SELECT page_id, CASE WHEN contains(url, '://') AND regexp_full_match(h, '[a-z0-9]([a-z0-9-]*[a-z0-9])?(\\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)+')
+ AND regexp_full_match(list_extract(string_split(h, '.'), -1), '[a-z]+') AND list_extract(string_split(h, '.'), -1) NOT IN {_list(C.INTERNAL_TLDS)}
+ AND NOT (h = 'example.org' OR ends_with(h, '.example.org')) THEN h ELSE '' END AS external FROM (SELECT page_id, url, {_HOST} AS h FROM pages)""")
+def external_hosts(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.external_host(F.col("url"), F.lit("http"), INTERNAL, placeholders=()).alias("external"))
+
+
+@query(f"SELECT page_id, ({' OR '.join(f'''(h = '{d}' OR ends_with(h, '.{d}'))''' for d in C.NOISE_HOSTS)}) AS noisy FROM (SELECT page_id, {_HOST} AS h FROM pages)")
+def noisy_hosts(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.under(T.service_host(F.col("url")), C.NOISE_HOSTS).alias("noisy"))
+
+
+@query("""SELECT DISTINCT event_type, upper(event_type) || '_SERVICE_URL' AS variable, replace(event_type, '_', '-') || '-service' AS whole,
+ CASE WHEN len(event_type) >= 3 THEN replace(event_type, '_', '-') END AS stem FROM events""")
+def env_forms(spark, sf):
+    v = F.concat(F.upper("event_type"), F.lit("_SERVICE_URL"))
+    forms = T.env_forms(F.col("variable"))
+    return table(spark, sf, "events").select("event_type").distinct().withColumn("variable", v).select("event_type", "variable", F.get(forms, F.lit(0)).alias("whole"), F.get(forms, F.lit(1)).alias("stem"))
+
+
+@query("""SELECT page_id, (p GLOB '*/docs/*' OR p GLOB '*.md' OR p GLOB 'https://*/a*' OR p GLOB '*[0-9]') AS hit FROM (SELECT page_id, url AS p FROM pages)""")
+def path_globs(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.path_matches(F.col("url"), ["*/docs/*", "*.md", "https://*/a*", "*[0-9]"]).alias("hit"))
+
+
+@query("SELECT o_orderkey, sha256(CAST(o_orderkey AS VARCHAR) || ':' || o_orderpriority)[1:12] AS print FROM orders")
+def fingerprint(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", T.fingerprint(F.concat_ws(":", F.col("o_orderkey").cast("string"), "o_orderpriority")).alias("print"))
+
+
+@query()
+def redact_documents(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", R.redact(F.col("text")).alias("text"))
+
+
+@query("""SELECT p_partkey, regexp_replace(lower(trim(p_brand)), '[-_.]+', '-', 'g') AS pypi, lower(trim(p_brand)) AS npm FROM part""")
+def package_names(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", T.package_name(F.lit("pypi"), F.col("p_brand")).alias("pypi"), T.package_name(F.lit("npm"), F.col("p_brand")).alias("npm"))
+
+
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
+def json_props(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+# ---------------------------------------------------------------- linking
+
+
+def _sites(spark, sf):
+    """Even pages provide their host; odd pages call a URL, and a bare host as an unnamed kind."""
+    pages = table(spark, sf, "pages").select("page_id", "url", T.service_host(F.col("url")).alias("host"))
+    even = pages.filter("page_id % 2 = 0").select(F.concat(F.lit("site-"), "page_id").alias("repo"), F.col("host").alias("value"), F.lit(False).alias("own"))
+    odd = pages.filter("page_id % 2 = 1").select(
+        "page_id", F.concat(F.lit("site-"), "page_id").alias("repo"), F.explode(F.array(F.struct(F.lit("http").alias("kind"), F.col("url").alias("key")), F.struct(F.lit("sftp").alias("kind"), F.col("host").alias("key")))).alias("c")
+    )
+    consumes = odd.select((F.col("page_id") * 2 + F.when(F.col("c.kind") == "http", 0).otherwise(1)).alias("consume_id"), "repo", "c.kind", "c.key")
+    consumes = consumes.withColumn("lookups", link.lookups(F.col("kind"), F.col("key"))).withColumn("external", T.external_host(F.col("key"), F.col("kind"), INTERNAL, placeholders=()))
+    empty = spark.createDataFrame([], "repo string, kind string, key string, name string, access string, ecosystem string")
+    providers = link.provider_index(even, empty.select("repo", "kind", "key"), empty.select("repo", "name", "access"), empty.select("repo", "ecosystem", "name"), empty.select("repo", "key"))
+    return providers, consumes
+
+
+_PROVIDERS = f"""p AS (SELECT page_id, url, {_HOST} AS host, 'site-' || page_id AS repo FROM pages),
+ named AS (SELECT * FROM p WHERE page_id % 2 = 0 AND host NOT IN {_list(C.GENERIC_IDENTIFIERS)}),
+ forms AS (
+  SELECT 'svc' AS family, host AS form, repo, 0 AS rank FROM named WHERE len(host) >= 2
+  UNION ALL SELECT 'svc', split_part(host, '.', 1), repo, 1 FROM named WHERE len(split_part(host, '.', 1)) >= 3 AND split_part(host, '.', 1) NOT IN {_list(C.GENERIC_IDENTIFIERS)}
+  UNION ALL SELECT 'dotted', s, repo, 1 FROM (SELECT repo, unnest([array_to_string(string_split(host, '.')[i:], '.') FOR i IN range(2, len(string_split(host, '.')) + 1)]) AS s FROM named) WHERE len(s) >= 3 AND s NOT IN {_list(C.GENERIC_IDENTIFIERS)}),
+ providers AS (SELECT family, form, repo, CAST(min(rank) AS INTEGER) AS rank FROM forms GROUP BY ALL)"""
+
+_LINKED = f"""{_PROVIDERS},
+ consumes AS (SELECT page_id * 2 AS consume_id, repo, 'http' AS kind, url AS key, host FROM p WHERE page_id % 2 = 1
+   UNION ALL SELECT page_id * 2 + 1, repo, 'sftp', host, host FROM p WHERE page_id % 2 = 1),
+ asked AS (
+   SELECT consume_id, repo, 0 AS ord, 'other' AS family, key AS form, 0 AS rank FROM consumes WHERE kind = 'sftp'
+   UNION ALL SELECT consume_id, repo, 1, 'svc', host, 0 FROM consumes
+   UNION ALL SELECT consume_id, repo, 2, 'svc', split_part(host, '.', 1), 1 FROM consumes WHERE len(split_part(host, '.', 1)) >= 3 AND split_part(host, '.', 1) NOT IN {_list(C.GENERIC_IDENTIFIERS)}
+   UNION ALL SELECT consume_id, repo, 3, 'dotted', host, 1 FROM consumes WHERE kind = 'sftp'),
+ hits AS (SELECT a.consume_id, a.ord, q.repo AS provider, greatest(a.rank, q.rank) AS rank FROM asked a JOIN providers q USING (family, form) WHERE q.repo <> a.repo),
+ best AS (SELECT consume_id, count(DISTINCT provider) AS n, max(rank) AS weakest, string_agg(DISTINCT provider, ',' ORDER BY provider) AS hits
+   FROM (SELECT *, min(ord) OVER (PARTITION BY consume_id) AS first FROM hits) WHERE ord = first GROUP BY consume_id),
+ linked AS (SELECT c.consume_id, c.repo, c.kind, c.key, c.host, coalesce(b.n, 0) AS n, b.hits, b.weakest,
+   CASE WHEN b.n BETWEEN 1 AND 3 THEN 'internal' WHEN b.n IS NULL AND c.kind = 'http' AND NOT (c.host = 'example.org' OR ends_with(c.host, '.example.org')) THEN 'external' ELSE 'unknown' END AS bucket
+   FROM consumes c LEFT JOIN best b USING (consume_id))"""
+
+_MATCH = "CASE WHEN bucket = 'internal' AND n > 1 THEN 'ambiguous' WHEN bucket = 'internal' THEN ['exact', 'alias', 'envvar'][weakest + 1] WHEN bucket = 'external' THEN 'derived' END"
+
+
+@query(f"WITH {_PROVIDERS} SELECT * FROM providers")
+def provider_index(spark, sf):
+    return _sites(spark, sf)[0]
+
+
+def _linked(spark, sf):
+    providers, consumes = _sites(spark, sf)
+    return link.tiered_link(consumes, providers)
+
+
+@query(f"WITH {_LINKED} SELECT consume_id, repo, kind, key, hits, CAST(n AS INTEGER) AS n_hits, bucket, {_MATCH} AS match FROM linked")
+def tiered_link(spark, sf):
+    return _linked(spark, sf).select("consume_id", "repo", "kind", "key", F.array_join("hits", ",").alias("hits"), "n_hits", "bucket", "match")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiered_link(spark, sf_dir)
+
+
+@query(f"WITH {_LINKED} SELECT count_if(bucket = 'internal') AS internal, count_if(bucket = 'external') AS external, count_if(bucket = 'unknown') AS unknown FROM linked")
+def bucket_counts(spark, sf):
+    return link.bucket_counts(_linked(spark, sf))
+
+
+@query(f"""WITH {_LINKED}, e AS (
+ SELECT consume_id, repo AS src, unnest(string_split(hits, ',')) AS dst, kind, key, {_MATCH} AS match FROM linked WHERE bucket = 'internal'
+ UNION ALL SELECT consume_id, repo, host, kind, key, 'derived' FROM linked WHERE bucket = 'external')
+SELECT src AS "from", dst AS "to", kind, key, arg_min(match, consume_id) AS match FROM e GROUP BY src, dst, kind, key""")
+def link_edges(spark, sf):
+    return link.edges(_linked(spark, sf))
+
+
+@query(f"""WITH {_LINKED} SELECT kind, key, string_agg(DISTINCT repo, ',' ORDER BY repo) AS repos FROM linked WHERE bucket = 'unknown'
+GROUP BY kind, key ORDER BY count(DISTINCT repo) DESC, key, kind LIMIT 25""")
+def unresolved_top(spark, sf):
+    return link.unresolved(_linked(spark, sf)).select("kind", "key", F.array_join("repos", ",").alias("repos"))
+
+
+@query("""SELECT p_name, CAST(count(*) AS BIGINT) AS n, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS candidates FROM part GROUP BY p_name HAVING count(*) > 3""")
+def ambiguous_cap(spark, sf):
+    out = table(spark, sf, "part").groupBy("p_name").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("p_partkey")).alias("c")).filter("n > 3")
+    return out.select("p_name", "n", F.array_join(F.transform("c", lambda x: x.cast("string")), ",").alias("candidates"))
+
+
+# ---------------------------------------------------------------- aggregates and windows
+
+
+@query("""WITH each AS (SELECT l_partkey, l_suppkey, max(l_returnflag) AS flag FROM lineitem WHERE l_partkey % 50 < 5 GROUP BY ALL)
+SELECT l_partkey, string_agg(l_suppkey || '=' || flag, ',' ORDER BY l_suppkey) AS owners FROM each GROUP BY l_partkey HAVING count(*) > 1""")
+def shared_stores(spark, sf):
+    rows = table(spark, sf, "lineitem").filter("l_partkey % 50 < 5")
+    out = S.shared(rows, "l_partkey", "l_suppkey", "l_returnflag")
+    return out.select("l_partkey", F.array_join(F.transform(F.map_entries("owners"), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"])), ",").alias("owners"))
+
+
+@query("SELECT o_custkey, arg_min(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey")
+def first_wins(spark, sf):
+    return link.first_wins(table(spark, sf, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
+
+
+@query("""SELECT source, doc_id, CAST(running AS BIGINT) AS running FROM (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS running FROM documents) WHERE running <= 20000""")
+def greedy_prefix(spark, sf):
+    return S.greedy_prefix(table(spark, sf, "documents"), ["source"], ["doc_id"], "n_chars", 20_000).select("source", "doc_id", "running")
+
+
+@query("""WITH RECURSIVE d AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+f AS (SELECT source, doc_id, i, n_chars AS used, 0 AS batch FROM d WHERE i = 1
+ UNION ALL SELECT d.source, d.doc_id, d.i, CASE WHEN f.used > 0 AND f.used + d.n_chars > 20000 THEN d.n_chars ELSE f.used + d.n_chars END,
+  f.batch + CASE WHEN f.used > 0 AND f.used + d.n_chars > 20000 THEN 1 ELSE 0 END FROM f JOIN d ON d.source = f.source AND d.i = f.i + 1)
+SELECT source, doc_id, batch FROM f""")
+def next_fit(spark, sf):
+    return S.next_fit(table(spark, sf, "documents"), "source", "doc_id", "n_chars", 20_000)
+
+
+@query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, max(value) FILTER (i = n // 2) AS p50, max(value) FILTER (i = floor(0.95 * n)) AS p95 FROM r GROUP BY event_type""")
+def percentile_index(spark, sf):
+    return S.percentile_index(table(spark, sf, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
+
+
+@query("""SELECT r_name, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS labels FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""")
+def diagram_pairs(spark, sf):
+    both = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return both.groupBy("r_name").agg(F.array_join(F.array_sort(F.collect_set("n_name")), ",").alias("labels"))
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, coalesce(sum(value), 0) AS total FROM events GROUP BY event_type")
+def run_summary(spark, sf):
+    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("total"))
+
+
+# ---------------------------------------------------------------- graph
+
+
+def _graph(spark, sf):
+    """A cyclic graph: parts and suppliers of a few parts, each leading to the other."""
+    pairs = table(spark, sf, "lineitem").filter("l_partkey % 40 = 1").select("l_partkey", "l_suppkey").distinct()
+    part, supplier = F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), "l_suppkey")
+    return pairs.select(part.alias("src"), supplier.alias("dst")).unionByName(pairs.filter("l_suppkey % 2 = 0").select(supplier.alias("src"), part.alias("dst")))
+
+
+_GRAPH = """pairs AS (SELECT DISTINCT 'p' || l_partkey AS p, 's' || l_suppkey AS s, l_suppkey FROM lineitem WHERE l_partkey % 40 = 1),
+ e AS (SELECT p AS src, s AS dst FROM pairs UNION ALL SELECT s, p FROM pairs WHERE l_suppkey % 2 = 0)"""
+
+
+@query(f"""WITH RECURSIVE {_GRAPH}, r AS (SELECT 's2' AS node, 0 AS hop UNION SELECT e.src, r.hop + 1 FROM r JOIN e ON e.dst = r.node WHERE r.hop < 3)
+SELECT node, CAST(min(hop) AS INTEGER) AS hop FROM r GROUP BY node HAVING min(hop) > 0""")
+def impact_hops(spark, sf):
+    return graph.impact(_graph(spark, sf), spark.createDataFrame([("s2",)], "node string"), 3)
+
+
+@query(f"""WITH RECURSIVE {_GRAPH}, twoway AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+ d AS (SELECT 's1' AS node, 0 AS hop UNION SELECT e.dst, d.hop + 1 FROM d JOIN e ON e.src = d.node WHERE d.hop < 6),
+ u AS (SELECT 's1' AS node, 0 AS hop UNION SELECT b.dst, u.hop + 1 FROM u JOIN twoway b ON b.src = u.node WHERE u.hop < 6)
+SELECT (SELECT min(hop) FROM d WHERE node = 's2') IS NOT NULL AS directed,
+ CAST(coalesce((SELECT min(hop) FROM d WHERE node = 's2'), (SELECT min(hop) FROM u WHERE node = 's2')) AS INTEGER) AS hops""")
+def shortest_path(spark, sf):
+    return graph.path_length(_graph(spark, sf), "s1", "s2")
+
+
+@query(f"WITH {_GRAPH} SELECT dst, count(*) AS n FROM e GROUP BY dst")
+def dependents(spark, sf):
+    return _graph(spark, sf).groupBy("dst").agg(F.count("*").alias("n"))
+
+
+def _occurrences(column: str, term: str) -> str:
+    return f"((len(lower({column})) - len(replace(lower({column}), '{term}', ''))) // {len(term)})"
+
+
+@query(f"""SELECT p_partkey, CAST(score AS BIGINT) AS score FROM (SELECT p_partkey,
+ {' + '.join(f'{w} * {_occurrences(c, t)}' for c, w in (('p_name', 5), ('p_brand', 4), ('p_type', 3)) for t in ('steel', 'brand', 'al'))} AS score FROM part)
+WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 50""")
+def keyword_search(spark, sf):
+    return S.search(table(spark, sf, "part"), {"p_name": 5, "p_brand": 4, "p_type": 3}, "Steel, BRAND al!", ["p_partkey"], 50).select("p_partkey", "score")
+
+
+@query("""WITH names AS (SELECT DISTINCT n_name AS name FROM nation UNION SELECT DISTINCT r_name FROM region),
+ asked AS (SELECT unnest(['AFRICA', 'asia', 'NATION_1', 'nation_2', 'IC', 'zzz', 'ame']) AS asked),
+ t AS (SELECT asked, name, 1 AS tier FROM asked JOIN names ON asked = name UNION ALL SELECT asked, name, 2 FROM asked JOIN names ON lower(asked) = lower(name)
+  UNION ALL SELECT asked, name, 3 FROM asked JOIN names ON contains(lower(name), lower(asked))),
+ b AS (SELECT DISTINCT asked, name, tier FROM t QUALIFY tier = min(tier) OVER (PARTITION BY asked))
+SELECT asked, tier, count(*) AS n, CASE WHEN count(*) = 1 THEN min(name) END AS name FROM b GROUP BY asked, tier""")
+def resolve_name(spark, sf):
+    names = table(spark, sf, "nation").select(F.col("n_name").alias("name")).union(table(spark, sf, "region").select("r_name")).distinct()
+    asked = spark.createDataFrame([(x,) for x in ("AFRICA", "asia", "NATION_1", "nation_2", "IC", "zzz", "ame")], "asked string")
+    return S.resolve(names, asked)
+
+
+# ---------------------------------------------------------------- gates, merges, refresh
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def orphans(spark, sf):
+    return S.gate(table(spark, sf, "documents"), table(spark, sf, "labels"), ["doc_id"])[1].select("doc_id")
+
+
+@query("SELECT doc_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE n_chars > 1000)")
+def evidence_gate(spark, sf):
+    return S.gate(table(spark, sf, "labels"), table(spark, sf, "documents").filter("n_chars > 1000"), ["doc_id"])[0].select("doc_id", "quality")
+
+
+@query("""SELECT c_custkey AS o_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
+def stale_overrides(spark, sf):
+    keys = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    return S.gate(keys, table(spark, sf, "orders").filter("o_orderstatus = 'P'"), ["o_custkey"])[1]
+
+
+@query("""WITH a AS (SELECT s_suppkey AS k, s_name AS label FROM supplier WHERE s_suppkey % 3 <> 0), b AS (SELECT c_custkey AS k, c_name AS label FROM customer WHERE c_custkey <= 120)
+SELECT coalesce(a.k, b.k) AS k, coalesce(nullif(a.label, ''), b.label) AS label, CASE WHEN a.k IS NOT NULL THEN 'sure' ELSE 'told' END AS origin FROM a FULL JOIN b ON a.k = b.k""")
+def fact_merge(spark, sf):
+    sure = table(spark, sf, "supplier").filter("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("label"))
+    told = table(spark, sf, "customer").filter("c_custkey <= 120").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("label"))
+    return S.merge_facts(sure, told, ["k"], ["label"])
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 THEN 'full' WHEN o_orderstatus = 'F' AND o_custkey % 2 = 0 THEN 'skip' WHEN o_orderstatus = 'F' THEN 'restamp'
+ WHEN o_orderdate < TIMESTAMP '1995-01-01' THEN 'full' WHEN o_custkey % 7 = 0 THEN 'restamp' WHEN o_custkey % 7 <= 3 THEN 'update' ELSE 'full' END AS mode FROM orders""")
+def refresh_mode(spark, sf):
+    c = F.col
+    mode = S.refresh_mode(c("o_orderkey") % 11 != 0, c("o_orderkey") % 13 != 0, c("o_orderstatus") == "F", c("o_custkey") % 2 == 0, c("o_orderdate") < F.lit("1995-01-01").cast("timestamp"), c("o_custkey") % 7, 3)
+    return table(spark, sf, "orders").select("o_orderkey", mode.alias("mode"))
+
+
+@query("""WITH h AS (SELECT l_orderkey, max(l_linenumber) AS head FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'missing' WHEN head IS NULL THEN 'error' WHEN head = o_custkey % 7 THEN 'fresh' ELSE 'stale' END AS status FROM orders LEFT JOIN h ON l_orderkey = o_orderkey""")
+def freshness(spark, sf):
+    heads = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("head"))
+    stored = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey") % 7)
+    return table(spark, sf, "orders").join(heads, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", S.freshness(stored, F.col("head")).alias("status"))
+
+
+@query(r"""WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS line FROM pages), u AS (SELECT page_id, unnest(regexp_extract_all(line, 'href="([^"]+)"', 1)) AS host FROM l)
+SELECT page_id, lower(host) AS host, count(*) AS n FROM u GROUP BY page_id, lower(host)""")
+def signal_scan(spark, sf):
+    lines = table(spark, sf, "pages").select("page_id", F.explode(F.split("html", "\n")).alias("line"))
+    hosts = lines.select("page_id", F.explode(F.regexp_extract_all("line", F.lit('href="([^"]+)"'), F.lit(1))).alias("host"))
+    return hosts.groupBy("page_id", F.lower("host").alias("host")).agg(F.count("*").alias("n"))
