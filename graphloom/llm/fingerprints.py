@@ -117,8 +117,10 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = base.filter("doc_id is not null")
-    sizes = known.select("doc_id", F.char_length("text").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
+    sizes = materialize(known.select("doc_id", F.char_length("text").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n")), "fingerprint-sizes")
     after = following(sizes).join(sizes, "doc_id").select(F.col("doc_id").alias("owner"), F.col("next_id").alias("doc_id"), F.floor(F.col("n") / 3).cast("int").alias("need"))
+    # Both joins below read one exchange of the texts.
+    known = known.repartition("doc_id")
     heads = known.join(after, "doc_id").select(F.col("owner").alias("doc_id"), F.col("doc_id").alias("next_id"), F.expr("substring(text, 1, need)").alias("head"))
     heads = heads.groupBy("doc_id").agg(F.min("next_id").alias("next_id"), F.min("head").alias("head"))
     both = known.join(heads, "doc_id").unionByName(
