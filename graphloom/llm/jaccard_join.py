@@ -47,7 +47,7 @@ from .textops import U64, distinct_by_doc, mix, word_slices
 #: Neighbours, beside the pivot, that a region's member is compared with.
 NEAR = 1
 #: Outsiders of a cell that serve as pivots in one round.
-ROUND_PIVOTS = 32
+ROUND_PIVOTS = 64
 #: log2 of the bits of the candidates' Bloom filter: 1 MB at any input size.
 BLOOM_LOG2 = 23
 
@@ -337,16 +337,17 @@ def _settle(regions: DataFrame, links: DataFrame, labels: DataFrame, marks: Data
         "turn", F.floor((F.row_number().over(Window.partitionBy("cell").orderBy("set_id")) - 1) / ROUND_PIVOTS)
     )
     outside = materialize(outside, "jaccard-outside")
+    marks = materialize(marks.join(cells.select("set_id").distinct(), "set_id", "left_semi"), "jaccard-cell-marks")
+    likely = None
     for turn in range(outside.agg(F.max("turn")).first()[0] + 1):
         z = outside.filter(F.col("turn") == turn).select("cell", F.col("set_id").alias("z"), F.col("label").alias("lz"))
         now = cells.join(z, "cell").filter((F.col("label") != F.col("lz")) & ((F.col("label") == F.col("cell")) | (F.col("set_id") > F.col("z"))))
         pairs = now.select(F.least("z", "set_id").alias("a"), F.greatest("z", "set_id").alias("b")).distinct()
-        likely = _apart(_likely(pairs, marks, num, den).select("a", "b"), labels)
-        found = materialize(_links(_distances(likely, sets), num, den), "jaccard-found")
-        if not found.isEmpty():
-            links = links.unionByName(found).checkpoint()
-            labels = connected_components(links).checkpoint()
-    return links, labels
+        near = materialize(_likely(pairs, marks, num, den).select("a", "b"), "jaccard-near")
+        likely = near if likely is None else likely.unionByName(near)
+    found = _links(_distances(likely.distinct(), sets), num, den)
+    links = links.unionByName(found).checkpoint()
+    return links, connected_components(links).checkpoint()
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
