@@ -4,7 +4,7 @@ Each distinct shingle is hashed once; the top bits of the hash name a bin and a
 bin keeps its least hash. An empty bin copies the bin that comes first in an
 order of its own (a few probes, then the bins by hash), the same order for every
 document, so two documents fill it alike with the probability of their Jaccard
-similarity. Four low bits of each bin are kept, packed in 64-bit words; the
+similarity. Four bits of a hash of each bin's value are kept, packed in 64-bit words; the
 chance agreement of 1/16 is taken out of the estimate.
 """
 
@@ -66,7 +66,11 @@ def packed(text: Column, k: int = SHINGLE) -> Column:
             ),
         )
 
-    return let(hashes, lambda h: F.when(F.size(h) > 0, let(let(bins(h), _densified), pack)))
+    def marks(d: Column) -> Column:
+        # A hash of value and bin: where many bins share a value, they don't agree by chance all at once.
+        return F.transform(d, lambda x, i: F.xxhash64(x, i))
+
+    return let(hashes, lambda h: F.when(F.size(h) > 0, let(marks(let(bins(h), _densified)), pack)))
 
 
 def as_text(fp: Column) -> Column:
