@@ -47,7 +47,7 @@ STAGES = [
     ("byte_bpe", encode),
 ]
 
-#: Expectation maximisation and windows have no SQL form; tests compare the stages with brute force.
+#: Expectation maximisation and windows have no SQL form; the operators of the stages are tested by themselves.
 ORACLE_SQL = None
 
 
