@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .folds import held_out, lowest_hashed
+from .scratch import materialize
 from .textops import NOT_ALNUM, Words, distinct_by_doc, word_slices
 
 #: Texts that are learned from: confirmed toxic ones, and unlabelled ones.
@@ -97,30 +98,67 @@ def _features(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([h for h, _ in parts]), np.concatenate([d for _, d in parts])
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of each kind that hold a word, summed within a slice."""
     for batch in batches:
-        for a, b, words in word_slices(batch.column(1), between=NOT_ALNUM):
+        flags = [np.asarray(batch.column(i).to_numpy(zero_copy_only=False), np.int64) for i in (1, 2)]
+        for a, b, words in word_slices(batch.column(3), between=NOT_ALNUM):
             h, doc = distinct_by_doc(*_features(words))
-            ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=words.n_docs))])
-            rows = pa.array([h[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), rows], ["doc_id", "words"])
+            each, at = np.unique(h, return_inverse=True)
+            p, u = (np.bincount(at, f[a:b][doc], minlength=len(each)).astype(np.int64) for f in flags)
+            yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), pa.array(p), pa.array(u)], ["word", "p", "u"])
+
+
+def _held(chosen):
+    """The chosen words of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = chosen.value
+        for batch in batches:
+            for a, b, words in word_slices(batch.column(3), between=NOT_ALNUM):
+                h, doc = _features(words)
+                hit = np.isin(h, known)
+                h, doc = distinct_by_doc(h[hit], doc[hit])
+                ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=words.n_docs))])
+                rows = pa.array([h[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), rows], ["doc_id", "p", "u", "words"])
+
+    return run
+
+
+def _telling(sample: DataFrame, n_p: int, n_u: int) -> np.ndarray:
+    """The words that ``fit`` would choose, counted by the cluster: FEATURES at most."""
+    counts = sample.mapInArrow(_counts, "word long, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    rate = (F.col("p") + F.col("u") + 1) / (n_p + n_u + 2)
+    z = (F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(rate * (1 - rate) * (1 / n_p + 1 / n_u))
+    best = counts.filter(F.col("p") >= max(2, MIN_SHARE * n_p)).select("word", z.alias("z")).filter(F.col("z") > MIN_Z - 1e-6)
+    return np.sort(np.array([r.word for r in best.orderBy(F.desc("z"), "word").limit(FEATURES).collect()], np.int64).view(np.uint64))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on bounded samples of the learning fold, whole texts."""
+    """Fit on bounded samples of the learning fold, whole texts.
+
+    The driver gets the sample's ids, FEATURES words, and which text holds which of them.
+    """
     spark = docs.sparkSession
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(~held_out() & F.col("toxic").isNotNull())
     share = marked.agg(F.avg("toxic")).first()[0]
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(~held_out() & F.col("doc_id").isNotNull())
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(~held_out() & F.col("doc_id").isNotNull())
     toxic = {r.doc_id for r in lowest_hashed(marked.filter("toxic = 1").select("doc_id").distinct(), POSITIVES).collect()}
     plain = {r.doc_id for r in lowest_hashed(base.select("doc_id").distinct(), UNLABELLED, seed=11).collect()}
     if share is None or not toxic or not plain:
         return fit([], [], 0.0)
-    chosen = spark.createDataFrame([(i,) for i in sorted(toxic | plain)], "doc_id long")
-    rows = base.join(F.broadcast(chosen), "doc_id").mapInArrow(_distinct, "doc_id long, words binary").collect()
-    sets = sorted((r.doc_id, bytes(r.words)) for r in rows)
-    read = {i: np.frombuffer(w, np.uint64) for i, w in sets}
-    return fit([read[i] for i in sorted(toxic) if i in read], [read[i] for i in sorted(plain) if i in read], min(max(share, 0.001), 0.9))
+    chosen = spark.createDataFrame([(i, i in toxic, i in plain) for i in sorted(toxic | plain)], "doc_id long, p boolean, u boolean")
+    # One text for each id; the sample is read twice, the documents once.
+    sample = base.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "p", "u").agg(F.max("text").alias("text"))
+    sample = materialize(sample, "toxicity-sample")
+    n_p, n_u = sample.agg(F.count_if("p"), F.count_if("u")).first()
+    if not n_p or not n_u:
+        return fit([], [], 0.0)
+    words = spark.sparkContext.broadcast(_telling(sample, n_p, n_u))
+    rows = sample.mapInArrow(_held(words), "doc_id long, p boolean, u boolean, words binary").collect()
+    read = [(r.p, r.u, np.frombuffer(bytes(r.words), np.uint64)) for r in sorted(rows, key=lambda r: r.doc_id)]
+    return fit([w for p, _, w in read if p], [w for _, u, w in read if u], min(max(share, 0.001), 0.9))
 
 
 def _score(model):
