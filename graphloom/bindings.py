@@ -10,6 +10,7 @@ from . import config as C
 from .functions import redact as R
 from .functions import text as T
 from .operators import graph, link, select as S
+from .sources import packages as P
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -345,3 +346,23 @@ def signal_scan(spark, sf):
     lines = table(spark, sf, "pages").select("page_id", F.explode(F.split("html", "\n")).alias("line"))
     hosts = lines.select("page_id", F.explode(F.regexp_extract_all("line", F.lit('href="([^"]+)"'), F.lit(1))).alias("host"))
     return hosts.groupBy("page_id", F.lower("host").alias("host")).agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- package manifests
+
+
+def _manifests(spark, sf):
+    """A package.json for each part: its brand is published and its type needed, by seven repositories."""
+    content = F.to_json(F.struct(F.col("p_brand").alias("name"), F.create_map("p_type", F.lit("1")).alias("dependencies")))
+    return table(spark, sf, "part").select(F.concat(F.lit("r"), F.col("p_partkey") % 7).alias("repo"), F.concat(F.lit("p"), "p_partkey", F.lit("/package.json")).alias("path"), content.alias("content"))
+
+
+@query("""SELECT 'r' || (p_partkey % 7) AS repo, 'npm' AS ecosystem, lower(trim(p_brand)) AS name, min('p' || p_partkey || '/package.json') AS evidence FROM part GROUP BY ALL""")
+def package_publishes(spark, sf):
+    return P.publishes(P.claims(_manifests(spark, sf)))
+
+
+@query("""SELECT 'r' || (p_partkey % 7) AS repo, 'npm' AS ecosystem, lower(trim(p_type)) AS name, min('p' || p_partkey || '/package.json') AS evidence, false AS inferred FROM part p
+WHERE NOT EXISTS (SELECT 1 FROM part q WHERE q.p_partkey % 7 = p.p_partkey % 7 AND lower(trim(q.p_brand)) = lower(trim(p.p_type))) GROUP BY ALL""")
+def package_depends(spark, sf):
+    return P.depends(P.claims(_manifests(spark, sf)))
