@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 
@@ -10,6 +11,7 @@ from graphloom.llm import language_id as L
 from graphloom.llm import quality_rules as Q
 from graphloom.llm import source_mix as M
 from graphloom.llm import toxicity as X
+from graphloom.llm.textops import NOT_ALNUM, distinct_by_doc, word_slices
 
 
 def brute_word(word, pieces, p):
@@ -114,3 +116,23 @@ def test_divergence_rules(make):
     assert got[3].n_repeat_words == 100 and got[3].base_failed
     assert (got[4].n_dup_lines, got[4].n_symbols, got[4].n_words, got[4].n_repeat_words) == (1, 2, 11, 0)
     assert D.judge(make([])).count() == 0
+
+
+def test_words_counted_on_the_cluster_are_those_of_fit(spark):
+    rng = random.Random(5)
+    texts = []
+    for i in range(120):
+        words = [f"w{rng.randrange(200)}" for _ in range(40)] + (["vileword"] if i % 4 == 0 else [])
+        texts.append((i, i % 4 == 0, i % 3 > 0, " ".join(words)))
+    texts += [(500, False, True, None), (501, True, False, "")]
+    sample = spark.createDataFrame(texts, "doc_id long, p boolean, u boolean, text string").repartition(3)
+    n_p, n_u = sum(t[1] for t in texts), sum(t[2] for t in texts)
+    told = X._telling(sample, n_p, n_u)
+    assert len(told)
+    column = pa.array([t[3] for t in texts], pa.string())
+    every = {}
+    for a, b, words in word_slices(column, between=NOT_ALNUM):
+        h, doc = distinct_by_doc(*X._features(words))
+        every |= {texts[a + i][0]: h[doc == i] for i in range(b - a)}
+    whole = X.fit([every[t[0]] for t in texts if t[1]], [every[t[0]] for t in texts if t[2]], 0.25)
+    assert whole.words.tolist() == told.tolist()
