@@ -229,8 +229,15 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, common, n_a, n_b) of pairs of set ids."""
+def _distances(pairs: DataFrame, base: DataFrame, k: int) -> DataFrame:
+    """(a, b, common, n_a, n_b) of pairs of set ids.
+
+    The sets of the pairs, and few others, are hashed again from the texts: one
+    exchange drops copies and serves both joins, and no set is stored.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id"))
+    bloom = base.sparkSession.sparkContext.broadcast(bloom_filter(ids))
+    sets = base.select("text").mapInArrow(_sets(k, bloom), "set_id long, members binary").dropDuplicates(["set_id"])
     return (
         pairs.join(sets.select(F.col("set_id").alias("a"), F.col("members").alias("x")), "a")
         .join(sets.select(F.col("set_id").alias("b"), F.col("members").alias("y")), "b")
@@ -263,18 +270,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     marks = sketch.filter("length(own) > 0").select("set_id", "n_shingles", "band", "own", "over").dropDuplicates(["set_id"])
     likely = materialize(_likely(runs.filter("kind = 0").select("a", "b").distinct(), marks, num, den), "jaccard-likely")
     regions = runs.filter("kind = 1").select(F.col("a").alias("region"), F.col("b").alias("set_id"))
-    # The sets of candidates only, hashed again from their texts.
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(regions.select("set_id"))
-    bloom = docs.sparkSession.sparkContext.broadcast(bloom_filter(wanted))
-    sets = materialize(base.select("text").mapInArrow(_sets(k, bloom), "set_id long, members binary").dropDuplicates(["set_id"]), "jaccard-sets")
     best = likely.groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a"))
-    tested = materialize(_distances(best.select("a", "b"), sets), "jaccard-tested")
+    tested = materialize(_distances(materialize(best.select("a", "b"), "jaccard-best"), base, k), "jaccard-tested")
     labels = connected_components(_links(tested, num, den)).checkpoint()
-    apart = _apart(likely.join(tested.select("a", "b"), ["a", "b"], "left_anti"), labels)
-    tested = materialize(tested.unionByName(_distances(apart, sets)), "jaccard-tested")
+    apart = materialize(_apart(likely.join(tested.select("a", "b"), ["a", "b"], "left_anti"), labels), "jaccard-apart")
+    tested = materialize(tested.unionByName(_distances(apart, base, k)), "jaccard-tested")
     links = _links(tested, num, den)
     labels = connected_components(links).checkpoint()
-    links, labels = _settle(regions, links, labels, marks, sets, num, den)
+    links, labels = _settle(regions, links, labels, marks, base, k, num, den)
 
     known = sketch.select("doc_id", "n_shingles", "set_id")
     classes = known.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("class_id"))
@@ -324,7 +327,7 @@ def _links(tested: DataFrame, num: int, den: int) -> DataFrame:
     return tested.filter(F.col("common") * den >= (F.col("n_a") + F.col("n_b") - F.col("common")) * num).select("a", "b")
 
 
-def _settle(regions: DataFrame, links: DataFrame, labels: DataFrame, marks: DataFrame, sets: DataFrame, num: int, den: int):
+def _settle(regions: DataFrame, links: DataFrame, labels: DataFrame, marks: DataFrame, base: DataFrame, k: int, num: int, den: int):
     """Step 3: cells of the regions whose members lie in several components."""
     named = regions.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("region", "set_id", F.coalesce("label", "set_id").alias("label"))
     open_ = named.groupBy("region").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(F.struct("set_id", "label")).alias("p"))
@@ -345,7 +348,7 @@ def _settle(regions: DataFrame, links: DataFrame, labels: DataFrame, marks: Data
         pairs = now.select(F.least("z", "set_id").alias("a"), F.greatest("z", "set_id").alias("b")).distinct()
         near = materialize(_likely(pairs, marks, num, den).select("a", "b"), "jaccard-near")
         likely = near if likely is None else likely.unionByName(near)
-    found = _links(_distances(likely.distinct(), sets), num, den)
+    found = _links(_distances(materialize(likely.distinct(), "jaccard-likely"), base, k), num, den)
     links = links.unionByName(found).checkpoint()
     return links, connected_components(links).checkpoint()
 
