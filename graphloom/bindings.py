@@ -196,11 +196,10 @@ def ambiguous_cap(spark, sf):
 # ---------------------------------------------------------------- aggregates and windows
 
 
-@query("""WITH each AS (SELECT l_partkey, l_suppkey, max(l_returnflag) AS flag FROM lineitem WHERE l_partkey % 50 < 5 GROUP BY ALL)
+@query("""WITH each AS (SELECT l_partkey, l_suppkey, max(l_returnflag) AS flag FROM lineitem GROUP BY ALL)
 SELECT l_partkey, string_agg(l_suppkey || '=' || flag, ',' ORDER BY l_suppkey) AS owners FROM each GROUP BY l_partkey HAVING count(*) > 1""")
 def shared_stores(spark, sf):
-    rows = table(spark, sf, "lineitem").filter("l_partkey % 50 < 5")
-    out = S.shared(rows, "l_partkey", "l_suppkey", "l_returnflag")
+    out = S.shared(table(spark, sf, "lineitem"), "l_partkey", "l_suppkey", "l_returnflag")
     return out.select("l_partkey", F.array_join(F.transform(F.map_entries("owners"), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"])), ",").alias("owners"))
 
 
@@ -244,13 +243,13 @@ def run_summary(spark, sf):
 
 
 def _graph(spark, sf):
-    """A cyclic graph: parts and suppliers of a few parts, each leading to the other."""
-    pairs = table(spark, sf, "lineitem").filter("l_partkey % 40 = 1").select("l_partkey", "l_suppkey").distinct()
+    """A cyclic graph: each part leads to its suppliers, and those of even number back to it."""
+    pairs = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct()
     part, supplier = F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), "l_suppkey")
     return pairs.select(part.alias("src"), supplier.alias("dst")).unionByName(pairs.filter("l_suppkey % 2 = 0").select(supplier.alias("src"), part.alias("dst")))
 
 
-_GRAPH = """pairs AS (SELECT DISTINCT 'p' || l_partkey AS p, 's' || l_suppkey AS s, l_suppkey FROM lineitem WHERE l_partkey % 40 = 1),
+_GRAPH = """pairs AS (SELECT DISTINCT 'p' || l_partkey AS p, 's' || l_suppkey AS s, l_suppkey FROM lineitem),
  e AS (SELECT p AS src, s AS dst FROM pairs UNION ALL SELECT s, p FROM pairs WHERE l_suppkey % 2 = 0)"""
 
 
@@ -316,11 +315,11 @@ def stale_overrides(spark, sf):
     return S.gate(keys, table(spark, sf, "orders").filter("o_orderstatus = 'P'"), ["o_custkey"])[1]
 
 
-@query("""WITH a AS (SELECT s_suppkey AS k, s_name AS label FROM supplier WHERE s_suppkey % 3 <> 0), b AS (SELECT c_custkey AS k, c_name AS label FROM customer WHERE c_custkey <= 120)
+@query("""WITH a AS (SELECT s_suppkey * 20 AS k, s_name AS label FROM supplier), b AS (SELECT c_custkey AS k, c_name AS label FROM customer)
 SELECT coalesce(a.k, b.k) AS k, coalesce(nullif(a.label, ''), b.label) AS label, CASE WHEN a.k IS NOT NULL THEN 'sure' ELSE 'told' END AS origin FROM a FULL JOIN b ON a.k = b.k""")
 def fact_merge(spark, sf):
-    sure = table(spark, sf, "supplier").filter("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("label"))
-    told = table(spark, sf, "customer").filter("c_custkey <= 120").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("label"))
+    sure = table(spark, sf, "supplier").select((F.col("s_suppkey") * 20).alias("k"), F.col("s_name").alias("label"))
+    told = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("label"))
     return S.merge_facts(sure, told, ["k"], ["label"])
 
 
