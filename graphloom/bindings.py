@@ -10,7 +10,7 @@ from . import config as C
 from .functions import redact as R
 from .functions import text as T
 from .operators import graph, link, select as S
-from .sources import packages as P
+from .sources import facts, packages as P
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -365,3 +365,20 @@ def package_publishes(spark, sf):
 WHERE NOT EXISTS (SELECT 1 FROM part q WHERE q.p_partkey % 7 = p.p_partkey % 7 AND lower(trim(q.p_brand)) = lower(trim(p.p_type))) GROUP BY ALL""")
 def package_depends(spark, sf):
     return P.depends(P.claims(_manifests(spark, sf)))
+
+
+# ---------------------------------------------------------------- facts of files
+
+
+@query("""SELECT 'r' || (p_partkey % 7) AS repo, 's3' AS kind, trim(p_brand) AS name, 'owner' AS access, min('p' || p_partkey || '/main.tf:2') AS evidence FROM part GROUP BY ALL""")
+def terraform_stores(spark, sf):
+    text = F.concat(F.lit('resource "aws_s3_bucket" "b" {\n  bucket = "'), "p_brand", F.lit('"\n}'))
+    files = table(spark, sf, "part").select(F.concat(F.lit("r"), F.col("p_partkey") % 7).alias("repo"), F.concat(F.lit("p"), "p_partkey", F.lit("/main.tf")).alias("path"), text.alias("content"))
+    return facts.terraform(files)[1]
+
+
+@query("SELECT 's' || s_suppkey AS repo, '@team-' || s_nationkey || ',@' || s_suppkey AS owners FROM supplier")
+def code_owners(spark, sf):
+    text = F.concat(F.lit("# rules\n/src @other\n* @team-"), "s_nationkey", F.lit(" @"), "s_suppkey", F.lit(" # all"))
+    files = table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("repo"), F.lit("docs/CODEOWNERS").alias("path"), text.alias("content"))
+    return facts.owners(files).select("repo", F.array_join("owners", ",").alias("owners"))
