@@ -10,7 +10,7 @@ from . import config as C
 from .functions import redact as R
 from .functions import text as T
 from .operators import graph, link, select as S
-from .sources import facts, packages as P
+from .sources import facts, packages as P, signals
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -343,8 +343,8 @@ def freshness(spark, sf):
 SELECT page_id, lower(host) AS host, count(*) AS n FROM u GROUP BY page_id, lower(host)""")
 def signal_scan(spark, sf):
     lines = table(spark, sf, "pages").select("page_id", F.explode(F.split("html", "\n")).alias("line"))
-    hosts = lines.select("page_id", F.explode(F.regexp_extract_all("line", F.lit('href="([^"]+)"'), F.lit(1))).alias("host"))
-    return hosts.groupBy("page_id", F.lower("host").alias("host")).agg(F.count("*").alias("n"))
+    found = signals.hits(lines, {"url": 'href="([^"]+)"'})
+    return found.groupBy("page_id", F.lower("found").alias("host")).agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- package manifests
