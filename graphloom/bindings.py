@@ -293,7 +293,7 @@ SELECT asked, tier, count(*) AS n, CASE WHEN count(*) = 1 THEN min(name) END AS
 def resolve_name(spark, sf):
     names = table(spark, sf, "nation").select(F.col("n_name").alias("name")).union(table(spark, sf, "region").select("r_name")).distinct()
     asked = spark.createDataFrame([(x,) for x in ("AFRICA", "asia", "NATION_1", "nation_2", "IC", "zzz", "ame")], "asked string")
-    return S.resolve(names, asked)
+    return S.resolve(names, asked).select("asked", "tier", "n", "name")
 
 
 # ---------------------------------------------------------------- gates, merges, refresh

@@ -24,19 +24,26 @@ def search(rows: DataFrame, fields: dict[str, int], query: str, order: Sequence[
     return rows.withColumn("score", score.cast("long")).filter("score > 0").orderBy(F.desc("score"), *order).limit(max(1, limit))
 
 
-def resolve(names: DataFrame, asked: DataFrame) -> DataFrame:
-    """(asked, tier, n, name): exact name, else the same letters, else the only name that holds it.
+def resolve(names: DataFrame, asked: DataFrame, identifiers: DataFrame | None = None) -> DataFrame:
+    """(asked, tier, n, name, candidates): exact name, else the same letters, else the only one with that identifier, else the only name that holds it.
 
-    names (name), asked (asked). name is null where the first tier with a match has several.
+    names (name), asked (asked), identifiers (name, identifier). name is null where the first
+    tier with a match has several; candidates are the first 15 of them. Tiers are 1, 2, 4 (identifier) and 3 (part of a name), in this order.
     """
     n, low, a = F.col("name"), F.lower("name"), F.lower("asked")
     exact = asked.join(names, F.col("asked") == n).select("asked", "name", F.lit(1).alias("tier"))
     folded = asked.join(names, a == low).select("asked", "name", F.lit(2).alias("tier"))
     # the names are the short side: a nested loop over them is what a substring test needs
     inside = asked.join(F.broadcast(names), low.contains(a)).select("asked", "name", F.lit(3).alias("tier"))
-    every = exact.unionByName(folded).unionByName(inside).distinct()
-    best = every.withColumn("best", F.min("tier").over(Window.partitionBy("asked"))).filter("tier = best")
-    return best.groupBy("asked", "tier").agg(F.count("*").alias("n"), F.min("name").alias("one")).select("asked", "tier", "n", F.when(F.col("n") == 1, F.col("one")).alias("name"))
+    every = exact.unionByName(folded).unionByName(inside)
+    if identifiers is not None:
+        claimed = asked.join(identifiers, a == F.lower("identifier")).select("asked", "name", F.lit(4).alias("tier"))
+        every = every.unionByName(claimed)
+    order = F.when(F.col("tier") == 4, 2.5).otherwise(F.col("tier"))
+    best = every.distinct().withColumn("order", order).withColumn("best", F.min("order").over(Window.partitionBy("asked"))).filter("order = best")
+    out = best.groupBy("asked", "tier").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("name")).alias("all"))
+    several = F.col("n") > 1
+    return out.select("asked", "tier", "n", F.when(~several, F.col("all")[0]).alias("name"), F.when(several, F.slice("all", 1, 15)).alias("candidates"))
 
 
 def greedy_prefix(rows: DataFrame, group: Sequence[str], order: Sequence[str], size: str, budget: int) -> DataFrame:
