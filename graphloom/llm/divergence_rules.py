@@ -8,6 +8,7 @@ whose histograms say little, are judged by the base rules alone.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -99,7 +100,7 @@ def references(counted: DataFrame) -> dict[str, tuple[list[float], list[float]]]
     sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.col("common")[i]).alias(f"w{i}") for i in range(width)]
     rows = (
         counted.filter("lang is not null").groupBy("lang").agg(F.sum("n_words").alias("n"), *sums).filter("n > 0")
-        .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+        .orderBy(F.desc("n"), "lang").collect()
     )
     out = {}
     for r in rows:
@@ -123,6 +124,22 @@ def _distance(shares: list[Column], reference: list[float]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), total / 2))
 
 
+def _nearest(classes: Column, groups: Column, reference: list[tuple[list[float], list[float]]]) -> Column:
+    """The least mean of both distances, in a loop over any number of languages."""
+
+    def far(shares: Column, of: Column) -> Column:
+        def part(p: Column, q: Column) -> Column:
+            m = (p + q) / 2
+            return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(q > 0, q * (F.log2(q) - F.log2(m))).otherwise(0.0)
+
+        total = F.aggregate(F.zip_with(shares, of, part), F.lit(0.0), lambda a, x: a + x)
+        return F.sqrt(F.greatest(F.lit(0.0), total / 2))
+
+    rows = json.dumps([{"c": c, "w": w} for c, w in reference])
+    each = F.from_json(F.lit(rows), "array<struct<c: array<double>, w: array<double>>>")
+    return F.array_min(F.transform(each, lambda r: (far(classes, r["c"]) + far(groups, r["w"])) / 2))
+
+
 def distance(reference: dict[str, tuple[list[float], list[float]]]) -> Column:
     """Mean of both distances to the nearest language; 0 without any language."""
     chars = F.greatest(F.col("word_chars"), F.lit(1))
@@ -131,7 +148,10 @@ def distance(reference: dict[str, tuple[list[float], list[float]]]) -> Column:
     width = len(COMMON_WORDS) * len(GROUPS)
     groups = [F.least(F.col("common")[i] / n, F.lit(1.0)) for i in range(width)]
     rest = F.greatest(F.lit(0.0), 1 - sum(groups[1:], groups[0]))
-    each = [(_distance(classes, c) + _distance([*groups, rest], w)) / 2 for c, w in reference.values()]
+    of = list(reference.values())
+    each = [(_distance(classes, c) + _distance([*groups, rest], w)) / 2 for c, w in of[:MAX_LANGUAGES]]
+    if of[MAX_LANGUAGES:]:
+        each.append(_nearest(F.array(*classes), F.array(*groups, rest), of[MAX_LANGUAGES:]))
     return F.least(*each) if len(each) > 1 else each[0] if each else F.lit(0.0)
 
 

@@ -136,3 +136,13 @@ def test_words_counted_on_the_cluster_are_those_of_fit(spark):
         every |= {texts[a + i][0]: h[doc == i] for i in range(b - a)}
     whole = X.fit([every[t[0]] for t in texts if t[1]], [every[t[0]] for t in texts if t[2]], 0.25)
     assert whole.words.tolist() == told.tolist()
+
+
+def test_divergence_measures_against_every_language(make, monkeypatch):
+    alphabets = ("abcdefgh", "ijklmnop", "0123456789", "АБВГДЕЖЗ")
+    rng = random.Random(8)
+    rows = [(10 * i + k, " ".join("".join(rng.choice(a) for _ in range(5)) for _ in range(60 + 20 * i)), "s", f"l{i}") for i, a in enumerate(alphabets) for k in range(4)]
+    docs = make(rows)
+    want = {r.doc_id: (round(r.distance, 9), r.kept) for r in D.judge(docs).collect()}
+    monkeypatch.setattr(D, "MAX_LANGUAGES", 1)
+    assert {r.doc_id: (round(r.distance, 9), r.kept) for r in D.judge(docs).collect()} == want
