@@ -1,35 +1,29 @@
 """N-gram Jaccard join in a metric space, exact.
 
-A document is its set of distinct word shingles; Jaccard distance and the size
-of the symmetric difference are both metrics on these sets. Whole-document
-pivots alone prune nothing here: unrelated documents all lie at a distance of
-nearly 1 from any pivot, so a Voronoi diagram over sampled documents sends every
-document to every region. So the space is first split by coordinates, where
-triangle inequality does prune, and document pivots work inside the regions:
-
-1. *Coordinate regions.* The universe of shingles is dealt into K parts. The
-   symmetric difference of two sets is the sum of their differences over the
-   parts, so sets within D < K of each other are at distance 0 in at least K - D
-   parts. A document's regions are the values of its parts. K follows from the
-   largest D that a link allows in a band of sizes; a document near the top of
-   its band is replicated to the next band, where a larger partner may lie.
-2. *Pivots.* In a region the smallest set id is the pivot; every member is
-   paired with it, and with its neighbour. A pair whose parts differ in more places than the
-   largest D that its sizes allow can't link (a byte a part tells). Of the other
-   pairs each set is first compared with the partner that is alike in most parts,
-   on whole sets; then those pairs that still lie in two components.
-3. *Voronoi cells.* Regions that aren't settled (members in several components)
-   fold into the cell of their pivot's component. Outsiders, members of other
-   components, serve as the next pivots, round by round, until none is left; a
-   member is compared with an outsider only where their sizes and the distances
-   in their coordinates leave room for a link (the triangle-inequality window).
-
-Proof of exactness for components: a link lies in a common region (1); there it
-is either tested, or both ends join the pivot's component, or one end is an
-outsider whose window holds the other (3).
-
-Rows that the method sends around are (region, set id) pairs and one row for a
-candidate pair: a group of near copies costs rows in proportion to its size.
+A document is its set of distinct word shingles. The size of the symmetric
+difference of two sets is a metric, and sets link only within a reach D that
+follows from their sizes. Unrelated documents lie as far from every document
+pivot as can be, so pivots alone would send each document to every region. The
+space is therefore first split by coordinates, where triangle inequality does
+prune, and pivots work from there on:
+
+1. *Coordinates.* The shingles are dealt into K parts. Sets within D of each
+   other differ in at most D parts, so they agree in K - D. Each set passes over
+   its ``skip`` thinnest parts, K - D - 1 of them: of the parts in which a linked
+   pair agrees, the fullest is among the others of both. Sets are banded by size,
+   as D is; a set that may link with a larger one of the next band lies in both.
+2. *Pivots and cells.* Of the sets that agree in a part, the one of the least id
+   is the pivot, and all the others come to its cell. A linked pair lies in the
+   cell of the pivot of the part that it shares. A cell of bounded size is joined
+   exactly, on whole sets, in one task.
+3. *Recursion.* A larger cell is split by further pivots, on stored distances: a
+   member goes to its nearest pivot, and to each in its triangle-inequality
+   window (nearest + 2 D). Members that link with a pivot are connected; of them
+   only those stay in its region that lie within reach of a member that does not. Regions are split again until a task can hold each. Where a level does
+   not shrink a cell, its members are dealt into blocks, and each two blocks meet.
+
+Tasks give a spanning tree of each group that they connect, so a group of near
+copies costs rows in proportion to its size.
 """
 
 from __future__ import annotations
@@ -38,69 +32,79 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from .bloom import bloom_filter, may_hold
 from .components import connected_components
-from .scratch import materialize
+from .scratch import drop, materialize
 from .textops import U64, distinct_by_doc, mix, word_slices
 
-#: Neighbours, beside the pivot, that a region's member is compared with.
-NEAR = 1
-#: Outsiders of a cell that serve as pivots in one round.
-ROUND_PIVOTS = 64
-#: log2 of the bits of the candidates' Bloom filter: 1 MB at any input size.
-BLOOM_LOG2 = 23
+#: Ratio of a size band's ends, and the share of further parts that each set passes over.
+BAND_RATIO, SLACK = 1.4, 0.3
+#: Members that a cell may have in one task, and bytes of their sets; larger cells are split.
+CELL_ROWS, CELL_BYTES = 2048, 16 << 20
+#: Pivots of one level of a large cell, as expected of a draw by hash.
+PIVOTS = 8
+#: Shingles of a cell that are counted at once.
+COLUMNS = 2048
 
 _SET_ID, _PART, _SEED = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB), U64(0x8EBC6AF09C88C6E3)
 
 
-def size_bands(largest: int) -> np.ndarray:
-    """Lower ends of the size bands; each is about 1.6 times the one before."""
-    ends = [1]
-    while ends[-1] <= largest:
-        ends.append(max(ends[-1] + 1, int(ends[-1] * 1.6)))
-    return np.array(ends + [int(ends[-1] * 1.6) + 1], np.int64)
+class Bands:
+    """Size bands: lower ends, parts and parts passed over of each."""
 
+    def __init__(self, largest: int, num: int, den: int):
+        ends, beyond = [1], 0
+        while beyond < 3:  # the largest set's band, the next one, and its end
+            ends.append(max(ends[-1] + 1, int(ends[-1] * BAND_RATIO)))
+            beyond += ends[-1] > largest
+        self.ends = np.array(ends, np.int64)
+        top = self.ends[1:] - 1
+        reach = 2 * top * (den - num) // (den + num)
+        self.skip = (SLACK * (reach + 1)).astype(np.int64)
+        self.parts = reach + 1 + self.skip
 
-def _regions(size: np.ndarray, h: np.ndarray, doc: np.ndarray, num: int, den: int):
-    """(region key, document) of every document of a slice with at least one shingle; its bands' parts, a byte each."""
-    ends = size_bands(int(size.max(initial=1)))
-    band = np.searchsorted(ends, size, side="right") - 1
-    keys, owners, marks = [], [], []
+
+def _sums(slot: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    total = np.zeros(n, U64)
+    np.add.at(total, slot, mix(h))
+    return total
+
+
+def _regions(size: np.ndarray, h: np.ndarray, doc: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(region key, document): of every document with a shingle, the parts that it doesn't pass over."""
+    bands = Bands(int(size.max(initial=1)), num, den)
+    band = np.maximum(np.searchsorted(bands.ends, size, side="right") - 1, 0)
+    keys, owners = [], []
     for step in (0, 1):
         b = band + step
         use = size > 0
         if step:  # it may link with a larger set of the next band
-            use &= size * den >= num * ends[b]
-        top = ends[b + 1] - 1
-        slack = np.where(top < 32, 1, 3)
-        parts = np.where(use, 2 * top * (den - num) // (den + num) + 1 + slack, 0)
-        base = np.concatenate([[0], np.cumsum(parts)])
+            use &= size * den >= num * bands.ends[b]
         live = use[doc]
         hh, dd = h[live], doc[live]
-        which = ((mix(hh ^ _SEED) >> U64(32)) * parts[dd].astype(U64)) >> U64(32)
-        slot = base[dd] + which.astype(np.int64)
-        total = np.zeros(base[-1], U64)
-        np.add.at(total, slot, mix(hh ^ _PART))
-        count = np.bincount(slot, minlength=base[-1])
+        parts = np.where(use, bands.parts[b], 0)
+        base = np.concatenate([[0], np.cumsum(parts)])
+        slot = base[dd] + (((mix(hh ^ _SEED) >> U64(32)) * parts[dd].astype(U64)) >> U64(32)).astype(np.int64)
+        total, count = _sums(slot, hh ^ _PART, base[-1]), np.bincount(slot, minlength=base[-1])
         owner = np.repeat(np.arange(len(size)), parts)
         number = np.arange(base[-1]) - base[owner]
-        # Regions of empty parts are needed only by sets with more of them than the slack allows for.
-        hollow = np.bincount(owner[count == 0], minlength=len(size)) > slack
-        keep = (count > 0) | hollow[owner]
-        tag = (b[owner].astype(U64) << U64(40)) + number.astype(U64)
-        key = mix(total + mix(tag))
-        keys.append(key[keep])
+        # Thinnest first within each document, ties by number: the same order for both sets of a pair.
+        order = np.argsort((owner << 40) + (np.minimum(count, 4095) << 28) + number, kind="stable")
+        keep = np.empty(len(order), bool)
+        keep[order] = np.arange(len(order)) - base[owner[order]] >= bands.skip[b][owner[order]]
+        tag = mix((b[owner].astype(U64) << U64(40)) + number.astype(U64))
+        keys.append(mix(total + tag)[keep])
         owners.append(owner[keep])
-        raw = (key >> U64(56)).astype(np.uint8).tobytes()
-        marks.append([raw[i:j] for i, j in zip(base[:-1].tolist(), base[1:].tolist())])
-    return np.concatenate(keys), np.concatenate(owners), band, marks
+    return np.concatenate(keys), np.concatenate(owners)
 
 
 def _set_ids(size: np.ndarray, h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(size), U64)
-    np.add.at(total, doc, mix(h ^ _SET_ID))
-    return mix(total + size.astype(U64)).view(np.int64)
+    return mix(_sums(doc, h ^ _SET_ID, len(size)) + size.astype(U64)).view(np.int64)
+
+
+_SKETCH = "doc_id long, n_shingles long, set_id long, regions array<long>"
 
 
 def _sketch(k: int, num: int, den: int):
@@ -115,97 +119,46 @@ def _sketch(k: int, num: int, den: int):
                 first = np.zeros(words.n_docs, bool)
                 first[np.unique(sid, return_index=True)[1]] = True
                 keep = first[doc]
-                keys, owner, band, marks = _regions(np.where(first, size, 0), h[keep], doc[keep], num, den)
+                keys, owner = _regions(np.where(first, size, 0), h[keep], doc[keep], num, den)
                 order = np.argsort(owner, kind="stable")
                 lists = pa.ListArray.from_arrays(
                     np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=words.n_docs))]).astype(np.int32),
                     pa.array(keys[order].view(np.int64)),
                 )
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(sid, mask=size == 0), lists,
-                        pa.array(band.astype(np.int32)), *(pa.array(m, pa.binary()) for m in marks),
-                    ],
-                    ["doc_id", "n_shingles", "set_id", "regions", "band", "own", "over"],
-                )
+                cols = [ids.slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(sid, mask=size == 0), lists]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "set_id", "regions"])
 
     return run
 
 
-def _pairs_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams rows (region, set) in order; holds NEAR + 2 members of a region at most."""
-    held = np.zeros((0, 2), np.int64)  # the open region's first members
-    seen_big = False
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pivot, set) of the sets beside the pivot, from rows (region, set) in order."""
+    region = pivot = last = None
     for batch in batches:
-        rows = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
-        n_held = len(held)
-        rows = np.concatenate([held, rows])
-        keep = np.ones(len(rows), bool)
-        keep[1:] = (rows[1:] != rows[:-1]).any(1)
-        rows = rows[keep]
-        if not len(rows):
+        keys, sets = (c.to_numpy() for c in batch.columns)
+        if not len(keys):
             continue
-        starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
-        ends = np.append(starts[1:], len(rows))
-        out: list[tuple[int, int, int]] = []
-        for s, e in zip(starts[(ends - starts) > 1], ends[(ends - starts) > 1]):
-            old = n_held if s == 0 else 0  # members that have been told of
-            sets = rows[s:e, 1].tolist()
-            pivot = sets[0]
-            for i in range(max(1, old), len(sets)):
-                out.append((0, pivot, sets[i]))
-                out.extend((0, y, sets[i]) for y in sets[max(1, i - NEAR) : i])
-            big = len(sets) > NEAR + 2
-            if big and not (s == 0 and seen_big):
-                out.extend((1, int(rows[s, 0]), y) for y in sets)
-            elif big:
-                out.extend((1, int(rows[s, 0]), y) for y in sets[old:])
-            if e == len(rows):
-                seen_big = big or (s == 0 and seen_big)
-        s = starts[-1]
-        if s > 0 and len(rows) - s == 1:
-            seen_big = False
-        tail = rows[s:]
-        held = tail if len(tail) <= NEAR + 2 else np.concatenate([tail[:1], tail[-(NEAR + 1) :]])
-        if out:
-            o = np.array(out, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(o[:, 0].astype(np.int32)), pa.array(o[:, 1]), pa.array(o[:, 2])], ["kind", "a", "b"])
-
-
-def _bloom_bits(ids: np.ndarray) -> np.ndarray:
-    """The filter's three bits of each id."""
-    return np.stack([mix(ids.view(U64) + U64(0x9E37 * (i + 1))) & U64((1 << BLOOM_LOG2) - 1) for i in range(3)])
-
-
-def _bloom_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        bits = _bloom_bits(np.unique(batch.column(0).to_numpy())).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array((bits >> U64(6)).astype(np.int32)), pa.array((U64(1) << (bits & U64(63))).view(np.int64))], ["w", "m"])
-
-
-def bloom_filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of a one-column table of longs, as 64-bit words; its size is fixed."""
-    rows = ids.mapInArrow(_bloom_parts, "w int, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
-    out = np.zeros(1 << (BLOOM_LOG2 - 6), np.int64)
-    out[rows["w"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64)
-    return out.view(U64)
+        new = np.concatenate([[keys[0] != region], keys[1:] != keys[:-1]])
+        start = np.maximum.accumulate(np.where(new, np.arange(len(keys)), -1))
+        pivots = np.where(start >= 0, sets[start], sets[0] if pivot is None else pivot)
+        again = np.concatenate([[sets[0] == last], sets[1:] == sets[:-1]])
+        keep = ~new & ~again & (sets != pivots)
+        region, pivot, last = keys[-1], pivots[-1], sets[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(pivots[keep]), pa.array(sets[keep])], ["cell", "set_id"])
 
 
-def may_hold(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    bits = _bloom_bits(ids)
-    return ((words[(bits >> U64(6)).astype(np.int64)] >> (bits & U64(63))) & U64(1)).all(0)
-
-
-def _sets(k: int, bloom):
+def _sets(k: int, sets, docs):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, words in word_slices(batch.column(0)):
+            ids = batch.column(0)
+            there = np.asarray(ids.is_null()) | may_hold(docs.value, ids.fill_null(0).to_numpy())
+            for _, _, words in word_slices(batch.column(1).filter(pa.array(there))):
                 h, doc = distinct_by_doc(*words.shingles(k))
                 size = np.bincount(doc, minlength=words.n_docs)
                 ends = np.concatenate([[0], np.cumsum(size)])
                 sid = _set_ids(size, h, doc)
                 first = np.unique(sid, return_index=True)[1]
-                first = first[(size[first] > 0) & may_hold(bloom.value, sid[first])]
+                first = first[(size[first] > 0) & may_hold(sets.value, sid[first])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(sid[first]), pa.array([h[ends[i] : ends[i + 1]].tobytes() for i in first], pa.binary())], ["set_id", "members"]
                 )
@@ -213,37 +166,190 @@ def _sets(k: int, bloom):
     return run
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each two sets; each set holds distinct hashes."""
+    n = len(sets)
+    every, row = np.concatenate(sets), np.repeat(np.arange(n), [len(x) for x in sets])
+    order = np.argsort(every)
+    every, row = every[order], row[order]
+    new = np.concatenate([[True], every[1:] != every[:-1]])[: len(every)]
+    held = np.diff(np.append(np.flatnonzero(new), len(every)))  # sets that hold each hash
+    several = held > 1
+    row, held = row[np.repeat(several, held)], held[several]
+    at = np.concatenate([[0], np.cumsum(held)])
+    out = np.zeros((n, n), np.float32)
+    for i in range(0, len(held), COLUMNS):
+        part = held[i : i + COLUMNS]
+        hits = np.zeros((n, len(part)), np.float32)
+        hits[row[at[i] : at[i + len(part)]], np.repeat(np.arange(len(part)), part)] = 1
+        out += hits @ hits.T
+    return out.astype(np.int64)
+
+
+def spanning_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """(i, j): stars over the groups that links within ``sets`` connect."""
+    size = np.array([len(x) for x in sets], np.int64)
+    common = common_counts(sets)
+    linked = common * den >= (size[:, None] + size[None] - common) * num
+    free, out = np.ones(len(sets), bool), []
+    for i in range(len(sets)):
+        if free[i]:
+            free[i], edge = False, np.array([i])
+            while len(edge):
+                edge = np.flatnonzero(linked[edge].any(0) & free)
+                free[edge] = False
+                out.extend((i, j) for j in edge.tolist())
+    return out
+
+
+def _hashes(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), U64) for x in column]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole groups of rows that agree in the first column, from rows in order."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        common, left, right = [], [], []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            u, v = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-            both = np.concatenate([u, v])
-            both.sort(kind="stable")
-            common.append(int((both[1:] == both[:-1]).sum()))
-            left.append(len(u))
-            right.append(len(v))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(left, pa.int64()), pa.array(right, pa.int64())],
-            ["a", "b", "common", "n_a", "n_b"],
-        )
-
-
-def _distances(pairs: DataFrame, base: DataFrame, k: int) -> DataFrame:
-    """(a, b, common, n_a, n_b) of pairs of set ids.
-
-    The sets of the pairs, and few others, are hashed again from the texts: one
-    exchange drops copies and serves both joins, and no set is stored.
+        if not len(batch):
+            continue
+        key = batch.column(0).to_numpy()
+        if held and key[0] != held[0].column(0)[0].as_py():
+            yield pa.concat_batches(held)
+            held = []
+        at = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()]
+        for a, b in zip(at[:-1], at[1:]):
+            yield pa.concat_batches([*held, batch.slice(a, b - a)])
+            held = []
+        held.append(batch.slice(at[-1]))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _join_cells(num: int, den: int):
+    """(a, b) of set ids, from whole cells: rows (sub, set_id, members) in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for group in _groups(batches):
+            ids = group.column(1).to_numpy()
+            links = spanning_links(_hashes(group.column(2)), num, den) if len(ids) > 1 else []
+            a += [ids[i] for i, _ in links]
+            b += [ids[j] for _, j in links]
+            if len(a) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+_NEAR = "sub long, set_id long, members binary, j long, away long, core boolean"
+
+
+def _by_pivots(num: int, den: int):
+    """Rows (sub, salt, pivot, set_id, members) in order, pivots first: where each member goes.
+
+    (…, j, away, core): the pivot, the distance from it, and whether they link.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id"))
-    bloom = base.sparkSession.sparkContext.broadcast(bloom_filter(ids))
-    sets = base.select("text").mapInArrow(_sets(k, bloom), "set_id long, members binary").dropDuplicates(["set_id"])
-    return (
-        pairs.join(sets.select(F.col("set_id").alias("a"), F.col("members").alias("x")), "a")
-        .join(sets.select(F.col("set_id").alias("b"), F.col("members").alias("y")), "b")
-        .select("a", "b", "x", "y")
-        .mapInArrow(_compare, "a long, b long, common long, n_a long, n_b long")
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, pivots = None, []
+        for batch in batches:
+            out = []
+            for sub, salt, is_pivot, sid, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
+                mine = np.frombuffer(raw.as_buffer(), U64)
+                if (sub, salt) != key:
+                    key, pivots = (sub, salt), []
+                if is_pivot:
+                    pivots.append((sid, mine))
+                    continue
+                common = np.array([len(np.intersect1d(mine, p, assume_unique=True)) for _, p in pivots], np.int64)
+                away = np.array([len(p) for _, p in pivots], np.int64) + len(mine) - 2 * common
+                tied = common * den >= (away + common) * num
+                for j in np.flatnonzero(away <= away.min() + 2 * (len(mine) * (den - num) // num)).tolist():
+                    out.append((sub, sid, raw.as_py(), pivots[j][0], int(away[j]), bool(tied[j])))
+            if out:
+                types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["sub", "set_id", "members", "j", "away", "core"])
+
+    return run
+
+
+def _large(rows: DataFrame) -> DataFrame:
+    """(sub, rows, times): cells with more than one task may hold, and how many times as much."""
+    n = rows.groupBy("sub").agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("bytes"))
+    times = F.greatest(F.ceil(F.col("rows") / CELL_ROWS), F.ceil(F.col("bytes") / CELL_BYTES)).cast("int")
+    return n.withColumn("times", F.least(times, F.ceil(F.col("rows") / 4).cast("int"))).filter("times > 1").drop("bytes")
+
+
+def _split(open_: DataFrame, level: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(smaller cells, links found) of cells of rows (sub, set_id, members, rows, times) that no task can hold."""
+    drawn = F.pmod(F.xxhash64("set_id", F.lit(level)), F.greatest(F.lit(1), F.floor(F.col("rows") / PIVOTS))) == 0
+    # Pivots go to each salt of their cell, before its members.
+    pivots = open_.filter(drawn).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("times") - 1))).withColumn("after", F.lit(0))
+    salted = open_.withColumn("salt", F.pmod(F.xxhash64("set_id", F.lit(-1)), F.col("times")).cast("int")).withColumn("after", F.lit(1))
+    stream = pivots.unionByName(salted).join(open_.filter(drawn).select("sub").distinct(), "sub", "left_semi")
+    stream = stream.select("sub", "salt", (F.col("after") == 0).alias("pivot"), "set_id", "members", "after")
+    stream = stream.repartition("sub", "salt").sortWithinPartitions("sub", "salt", "after").drop("after")
+    near = materialize(stream.mapInArrow(_by_pivots(num, den), _NEAR), "jaccard-near")
+    pieces = near.groupBy("sub", "j").agg(F.min(F.when(~F.col("core"), F.col("away"))).alias("edge")).filter("edge is not null")
+    # Of those connected with a pivot, those within reach of another member go on; pieces without another are settled.
+    reach = F.floor(F.octet_length("members") / 8 * (den - num) / num)
+    on = near.join(pieces, ["sub", "j"]).filter(~F.col("core") | (F.col("away") + reach >= F.col("edge")))
+    work = on.groupBy("sub", "j").count().groupBy("sub").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("work"))
+    sizes = open_.join(near.select("sub").distinct(), "sub", "left_semi").select("sub", "rows").distinct().join(work, "sub", "left")
+    kept = materialize(sizes.filter(F.coalesce("work", F.lit(0.0)) < 0.7 * F.col("rows") * F.col("rows")).select("sub"), "jaccard-kept")
+    on = on.join(kept, "sub", "left_semi").select(F.xxhash64("sub", F.lit(level), "j").alias("sub"), "set_id", "members")
+    # Each two blocks of a cell that did not shrink, in two thirds of a task's room.
+    n = 3 * F.col("times")
+    block = F.pmod(F.xxhash64("set_id", F.lit(-2)), n).cast("int")
+    met = F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.struct(F.least(x, block).alias("x"), F.greatest(x, block).alias("y")))
+    blocks = open_.join(kept, "sub", "left_anti").withColumn("met", F.explode(met)).select(F.xxhash64("sub", F.lit(-3), "met").alias("sub"), "set_id", "members")
+    return on.unionByName(blocks), near.filter("core").select(F.col("j").alias("a"), F.col("set_id").alias("b"))
+
+
+def _links(sketch: DataFrame, known: DataFrame, base: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b) of set ids, of which the components are those of all links."""
+    postings = sketch.select(F.explode("regions").alias("region"), "set_id")
+    cells = postings.repartition("region").sortWithinPartitions("region", "set_id").mapInArrow(_cells, "cell long, set_id long").distinct()
+    cells = materialize(cells, "jaccard-cells")
+    drop(sketch)
+    cells = cells.unionByName(cells.select("cell", F.col("cell").alias("set_id")).distinct())
+
+    # The sets of the cells, and few others, are hashed again from the texts.
+    context = base.sparkSession.sparkContext
+    ids = cells.select("set_id").distinct()
+    holders = known.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    holders = materialize(holders.join(ids, "set_id", "left_semi"), "jaccard-holders")
+    of_sets, of_docs = (context.broadcast(bloom_filter(x)) for x in (holders.select("set_id"), holders.select("doc_id").filter("doc_id is not null")))
+    sets = base.mapInArrow(_sets(k, of_sets, of_docs), "set_id long, members binary").dropDuplicates(["set_id"])
+
+    sized = cells.join(holders.select("set_id", (F.col("n") * 8).alias("bytes")), "set_id").select(F.col("cell").alias("sub"), "set_id", "bytes")
+    large = materialize(_large(sized), "jaccard-large")
+    rows = cells.withColumnRenamed("cell", "sub").join(large, "sub", "left").join(sets, "set_id")
+    found: list[DataFrame] = []
+
+    def join_cells(some: DataFrame) -> None:
+        some = some.select("sub", "set_id", "members").repartition("sub").sortWithinPartitions("sub", "set_id")
+        found.append(materialize(some.mapInArrow(_join_cells(num, den), "a long, b long"), "jaccard-links"))
+
+    join_cells(rows.filter("times is null"))
+    level = 0
+    while not large.isEmpty():
+        if level > 24:
+            raise RuntimeError("cells did not split")
+        open_ = materialize(rows.filter("times > 1"), "jaccard-open")
+        rows, links = _split(open_, level, num, den)
+        found.append(links)
+        rows = materialize(rows.withColumn("bytes", F.octet_length("members").cast("long")), "jaccard-pieces")
+        large = materialize(_large(rows), "jaccard-large")
+        rows = rows.join(large, "sub", "left")
+        join_cells(rows.filter("times is null"))
+        level += 1
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionByName(more)
+    return links
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -254,32 +360,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     Words are runs outside ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased; a text of
     fewer than ``k`` words has its whole sequence as one shingle. A null, empty
     or blank text has no shingle, links with nothing and is its own component.
-    Repeated texts form one class. Other columns of ``docs`` are ignored; an
-    empty table gives an empty result. A null doc_id is kept, and is never the
-    smallest where the component has another.
+    Repeated texts form one class. Rows that share a doc_id are each compared by
+    their own text. Other columns of ``docs`` are ignored; an empty table gives
+    an empty result. A null doc_id is kept, and is never the smallest where the
+    component has another.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = materialize(
-        base.mapInArrow(_sketch(k, num, den), "doc_id long, n_shingles long, set_id long, regions array<long>, band int, own binary, over binary"), "jaccard-sketch"
-    )
-    postings = sketch.select(F.explode("regions").alias("region"), "set_id")
-    runs = materialize(
-        postings.repartition("region").sortWithinPartitions("region", "set_id").mapInArrow(_pairs_of_runs, "kind int, a long, b long"),
-        "jaccard-runs",
-    )
-    marks = sketch.filter("length(own) > 0").select("set_id", "n_shingles", "band", "own", "over").dropDuplicates(["set_id"])
-    likely = materialize(_likely(runs.filter("kind = 0").select("a", "b").distinct(), marks, num, den), "jaccard-likely")
-    regions = runs.filter("kind = 1").select(F.col("a").alias("region"), F.col("b").alias("set_id"))
-    best = likely.groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a"))
-    tested = materialize(_distances(materialize(best.select("a", "b"), "jaccard-best"), base, k), "jaccard-tested")
-    labels = connected_components(_links(tested, num, den)).checkpoint()
-    apart = materialize(_apart(likely.join(tested.select("a", "b"), ["a", "b"], "left_anti"), labels), "jaccard-apart")
-    tested = materialize(tested.unionByName(_distances(apart, base, k)), "jaccard-tested")
-    links = _links(tested, num, den)
-    labels = connected_components(links).checkpoint()
-    links, labels = _settle(regions, links, labels, marks, base, k, num, den)
-
-    known = sketch.select("doc_id", "n_shingles", "set_id")
+    sketch = materialize(base.mapInArrow(_sketch(k, num, den), _SKETCH), "jaccard-sketch")
+    known = materialize(sketch.select("doc_id", "n_shingles", "set_id"), "jaccard-known")
+    labels = connected_components(_links(sketch, known, base, k, num, den)).checkpoint()
+
     classes = known.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("class_id"))
     named = classes.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select(
         "set_id", "class_id", F.coalesce("label", "set_id").alias("label")
@@ -290,69 +380,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     return with_text.unionByName(known.filter("set_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def _unequal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, n_a, n_b, parts that differ), from rows with both sets' bands and marks."""
-    for batch in batches:
-        a, b, na, nb, ba, bb, ua, ub, va, vb = batch.columns
-        out = []
-        for i, (p, q) in enumerate(zip(ba.to_pylist(), bb.to_pylist())):
-            x, y = (ua if p >= q else va)[i], (ub if q >= p else vb)[i]
-            x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
-            out.append(int((x != y).sum()) if abs(p - q) <= 1 and len(x) == len(y) else 1 << 40)
-        yield pa.RecordBatch.from_arrays([a, b, na, nb, pa.array(out, pa.int64())], ["a", "b", "n_a", "n_b", "unequal"])
-
-
-def _likely(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, n_a, n_b, alike) of the pairs that may link.
-
-    The symmetric difference is at least the number of parts that differ.
-    """
-    named = ("set_id", "n_shingles", "band", "own", "over")
-    x, y = (marks.select(*(F.col(c).alias(f"{c}_{side}") for c in named)) for side in "ab")
-    rows = pairs.join(x, F.col("a") == F.col("set_id_a")).join(y, F.col("b") == F.col("set_id_b"))
-    rows = rows.filter(F.least("n_shingles_a", "n_shingles_b") * den >= F.greatest("n_shingles_a", "n_shingles_b") * num)
-    rows = rows.select("a", "b", *(f"{c}_{side}" for c in named[1:] for side in "ab"))
-    out = rows.mapInArrow(_unequal, "a long, b long, n_a long, n_b long, unequal long")
-    total = F.col("n_a") + F.col("n_b")
-    return out.filter(F.col("unequal") <= F.floor(total * (den - num) / (den + num))).select("a", "b", "n_a", "n_b", (-F.col("unequal") / total).alias("alike"))
-
-
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose sets lie in two components."""
-    x, y = (labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}")) for side in "ab")
-    return pairs.join(x, "a", "left").join(y, "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-
-
-def _links(tested: DataFrame, num: int, den: int) -> DataFrame:
-    return tested.filter(F.col("common") * den >= (F.col("n_a") + F.col("n_b") - F.col("common")) * num).select("a", "b")
-
-
-def _settle(regions: DataFrame, links: DataFrame, labels: DataFrame, marks: DataFrame, base: DataFrame, k: int, num: int, den: int):
-    """Step 3: cells of the regions whose members lie in several components."""
-    named = regions.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("region", "set_id", F.coalesce("label", "set_id").alias("label"))
-    open_ = named.groupBy("region").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(F.struct("set_id", "label")).alias("p"))
-    open_ = open_.filter("l0 != l1").select("region", F.col("p.label").alias("cell"))
-    cells = materialize(named.join(open_, "region").select("cell", "set_id", "label").distinct(), "jaccard-cells")
-    if cells.isEmpty():
-        return links, labels
-    # Distance to the cell's pivot: sizes are known, and parts that differ bound it from below.
-    outside = cells.filter("label != cell").withColumn(
-        "turn", F.floor((F.row_number().over(Window.partitionBy("cell").orderBy("set_id")) - 1) / ROUND_PIVOTS)
-    )
-    outside = materialize(outside, "jaccard-outside")
-    marks = materialize(marks.join(cells.select("set_id").distinct(), "set_id", "left_semi"), "jaccard-cell-marks")
-    likely = None
-    for turn in range(outside.agg(F.max("turn")).first()[0] + 1):
-        z = outside.filter(F.col("turn") == turn).select("cell", F.col("set_id").alias("z"), F.col("label").alias("lz"))
-        now = cells.join(z, "cell").filter((F.col("label") != F.col("lz")) & ((F.col("label") == F.col("cell")) | (F.col("set_id") > F.col("z"))))
-        pairs = now.select(F.least("z", "set_id").alias("a"), F.greatest("z", "set_id").alias("b")).distinct()
-        near = materialize(_likely(pairs, marks, num, den).select("a", "b"), "jaccard-near")
-        likely = near if likely is None else likely.unionByName(near)
-    found = _links(_distances(materialize(likely.distinct(), "jaccard-likely"), base, k), num, den)
-    links = links.unionByName(found).checkpoint()
-    return links, connected_components(links).checkpoint()
-
-
 def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The row of the smallest doc_id of each component, with all its columns.
 
