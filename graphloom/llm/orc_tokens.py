@@ -6,9 +6,11 @@ with its integer run-length encoding, keeps minima and maxima of doc_id for each
 stripe and row group, and a Bloom filter on doc_id; a reader takes stripes in
 parallel and skips those that can't hold the ids it looks for.
 
-Encoding is that of the ``tokenizers`` library. White space never lies inside a
-pre-token of this vocabulary, so a chunk between ASCII white space, in lower
-case, is encoded once and remembered, within a bounded cache; each miss goes through the library.
+Encoding is that of the ``tokenizers`` library, the strings of special tokens
+included. Where no pre-token holds white space, as in the vocabulary used here, a
+chunk between ASCII white space is encoded once and remembered, within a cache of
+bounded bytes; each miss goes through the library. Probes tell whether a
+vocabulary allows this; with any other, whole texts go through the library.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ from .scratch import fresh_path, materialize
 from .textops import word_slices
 
 END_ID = 1
-#: Chunks that a Python worker remembers, in each of two generations.
-CACHE = 700_000
+#: Bytes of chunks and ids that a Python worker remembers, in each of two generations, and those of an entry besides.
+CACHE_BYTES, ENTRY_BYTES = 80 << 20, 170
+#: Texts whose encoding tells whether chunks, and words by the model alone, give the ids of whole texts.
+PROBES = ("the cat", "It's  2 on\tand\nu.s. naïve ÉTÉ", "straße x_y a-b 12345 it", "<|endoftext|> über\r\nÑandú, été!", " .a\x0bb\x0cc ")
 ROW_GROUP = 1000
 STRIPE_BYTES = 16 << 20
 
@@ -49,27 +53,38 @@ class _Chunks(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.model = self.tokenizer.model
         self.old: dict[bytes, bytes] = {}
+        self.used = 0
+        words = [w for t in PROBES for w in t.encode().split()]
+        #: Whether a text's ids are those of its chunks, and a plain word's those of the model by itself.
+        self.by_chunk = all(self.library(t) == b"".join(map(self.library, t.encode().split())) for t in PROBES)
+        self.by_model = self.by_chunk and all(self.library(w) == x for w in words if (x := self.word(w)) is not None)
+
+    def library(self, text: str | bytes) -> bytes:
+        text = text.decode() if isinstance(text, bytes) else text
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def word(self, stem: bytes) -> bytes | None:
+        """ids of one pre-token, whose only normalisation is to lower case: letters below U+0180."""
+        letters = stem.decode()
+        if not (letters.isalpha() and (stem.isascii() or (max(letters) < "\u0180" and "\u0130" not in letters))):
+            return None
+        shown = letters.lower() if stem.isascii() else letters.lower().encode().decode("latin-1").translate(_SHOWN)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def __missing__(self, chunk: bytes) -> bytes:
         out = self.old.pop(chunk, None)
         if out is None:
-            stem = chunk.rstrip(b".,!?;:")
-            letters = stem.decode()
-            # One pre-token, whose only normalisation is to lower case: letters below U+0180.
-            plain = letters.isalpha() and (stem.isascii() or (max(letters) < "\u0180" and "\u0130" not in letters))
-            if not plain:
-                ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
-                out = array("I", ids).tobytes()
-            elif len(stem) < len(chunk):  # the signs are a pre-token of their own
-                out = self[stem] + self[chunk[len(stem) :]]
+            stem = chunk.rstrip(b".,!?;:") if self.by_model else chunk
+            if self.by_model and 0 < len(stem) < len(chunk) and stem.decode().isalpha():
+                out = self[stem] + self[chunk[len(stem) :]]  # the signs are a pre-token of their own
             else:
-                shown = letters if stem.isascii() else letters.lower().encode().decode("latin-1").translate(_SHOWN)
-                out = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-        if len(self) >= CACHE:
-            self.old = dict(self)
+                out = self.word(chunk) if self.by_model else None
+                out = self.library(chunk) if out is None else out
+        self.used += len(chunk) + len(out) + ENTRY_BYTES
+        if self.used > CACHE_BYTES:
+            self.old, self.used = dict(self), 0
             self.clear()
         self[chunk] = out
         return out
@@ -81,41 +96,51 @@ def _encode(vocabulary, end_id: int):
         if key not in _encoders:
             _encoders.clear()
             _encoders[key] = _Chunks(vocabulary.value)
-        chunks = _encoders[key]
+        chunks, row = _encoders[key], 0
         get, end = chunks.__getitem__, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for a, b, w in word_slices(batch.column(1), limit=4 << 20):
-                # A slice's distinct chunks are looked up once each, and laid out by index.
-                _, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
-                raw = w.data.tobytes()
-                found = [get(raw[s:e]) for s, e in zip(w.start[first].tolist(), w.end[first].tolist())] + [end]
+            for a, b, w in word_slices(batch.column(1), lower=False):
+                if chunks.by_chunk:
+                    # A slice's distinct chunks are looked up once each, and laid out by index.
+                    _, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
+                    raw = w.data.tobytes()
+                    found = [get(raw[s:e]) for s, e in zip(w.start[first].tolist(), w.end[first].tolist())] + [end]
+                    which = np.insert(which, w.first[1:], len(found) - 1)  # each document's end
+                    words_upto = w.first + np.arange(w.n_docs + 1)
+                else:
+                    found = [chunks.library(t or "") + end for t in batch.column(1).slice(a, b - a).to_pylist()]
+                    which, words_upto = np.arange(len(found)), np.arange(len(found) + 1)
                 size = np.fromiter(map(len, found), np.int64, len(found)) // 4
                 flat = np.frombuffer(b"".join(found), np.int32)
-                which = np.insert(which, w.first[1:], len(found) - 1)  # each document's end
-                words_upto = w.first + np.arange(w.n_docs + 1)
                 count = size[which]
                 upto = np.concatenate([[0], np.cumsum(count)])
                 begin = np.cumsum(size) - size
                 ids = flat[np.repeat(begin[which] - upto[:-1], count) + np.arange(upto[-1])]
                 lists = pa.ListArray.from_arrays(pa.array(upto[words_upto], pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["doc_id", "ids"])
+                rows = pa.array(np.arange(row, row + b - a))
+                row += b - a
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), rows, lists], ["doc_id", "row", "ids"])
 
     return run
 
 
+_FILE = "doc_id long, row long, ids array<int>"
+
+
 def write_tokens(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = END_ID) -> None:
     """Encode ``docs`` (doc_id, text) and write ORC under ``path`` in ascending doc_id order.
 
-    A null or empty text is its end id alone. Rows of one doc_id keep an
-    arbitrary order among themselves; null doc_ids come first. Other columns are
-    ignored; an empty table writes files without rows.
+    A null or empty text is its end id alone. Rows of one doc_id follow one
+    another in the order of their texts; null doc_ids come first. row is a row's
+    place in its file. Other columns are ignored; an empty table writes files
+    without rows.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(Path(vocabulary_path).read_text())
     (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id")
-        .mapInArrow(_encode(vocabulary, end_id), "doc_id long, ids array<int>")
+        .sortWithinPartitions("doc_id", "text")
+        .mapInArrow(_encode(vocabulary, end_id), _FILE)
         .write.option("compression", "none")
         .option("orc.stripe.size", str(STRIPE_BYTES))
         .option("orc.row.index.stride", str(ROW_GROUP))
@@ -128,34 +153,35 @@ def write_tokens(docs: DataFrame, path: str, vocabulary_path: str, end_id: int =
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
     """(doc_id, ids) of all documents, or of a few: then stripes are pruned."""
-    out = spark.read.schema("doc_id long, ids array<int>").orc(path)
+    out = spark.read.schema(_FILE).orc(path).select("doc_id", "ids")
     return out if doc_ids is None else out.filter(F.col("doc_id").isin(*doc_ids))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(1)
+        ids = batch.column(2)
         ends = np.asarray(ids.offsets)
         raw = memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), "<u4")).cast("B")
         crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64()), batch.column(2)], ["doc_id", "n_tokens", "ids_crc32", "file"]
+            [batch.column(0), batch.column(1), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64()), batch.column(3)],
+            ["doc_id", "row", "n_tokens", "ids_crc32", "file"],
         )
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files."""
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files; start follows the rows' places."""
     rows = (
-        spark.read.schema("doc_id long, ids array<int>").orc(path)
-        .select("doc_id", "ids", F.col("_metadata.file_name").alias("file"))
-        .mapInArrow(_digest, "doc_id long, n_tokens long, ids_crc32 long, file string")
+        spark.read.schema(_FILE).orc(path)
+        .select("doc_id", "row", "ids", F.col("_metadata.file_name").alias("file"))
+        .mapInArrow(_digest, "doc_id long, row long, n_tokens long, ids_crc32 long, file string")
     )
     rows = materialize(rows, "token-index")
     # One row a file; files hold disjoint ranges of doc_id.
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min("doc_id").alias("least"))
     before = Window.orderBy(F.col("least").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     return rows.join(files, "file").select(
         "doc_id", (F.col("offset") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).alias("start"), "n_tokens", "ids_crc32"
     )

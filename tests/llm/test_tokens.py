@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+import tokenizers
 from tokenizers import Tokenizer
 
 from graphloom.llm import byte_bpe, orc_tokens
@@ -27,7 +28,6 @@ def test_orc_round_trip(spark, make):
     rows = [(100 - i, t) for i, t in enumerate(TEXTS)] + [(100, TEXTS[0]), (None, "z")]
     got = sorted(orc_tokens.encode_to_orc(make(rows), WORD).collect(), key=lambda r: r.start)
     t = Tokenizer.from_file(WORD)
-    t.encode_special_tokens = True
     want = {}
     for d, x in rows:
         ids = t.encode(x or "", add_special_tokens=False).ids + [1]
@@ -39,6 +39,30 @@ def test_orc_round_trip(spark, make):
         at += r.n_tokens
 
 
+def test_start_follows_the_files_where_ids_repeat(spark, make, tmp_path):
+    path = f"file://{tmp_path}/t"
+    orc_tokens.write_tokens(make([(7, "b " * i) for i in (3, 1, 2)] + [(7, None), (2, "<|endoftext|>a")]), path, WORD)
+    at, rows = 0, sorted(orc_tokens.token_index(spark, path).collect(), key=lambda r: r.start)
+    stored = [(r.doc_id, list(r.ids)) for r in orc_tokens.read_tokens(spark, path).coalesce(1).collect()]
+    assert [r.doc_id for r in rows] == [2, 7, 7, 7, 7] and [i for d, i in stored if d == 2] == [[49407, 320, 1]]
+    for r in rows:
+        assert r.start == at and (r.doc_id, r.ids_crc32) in {(d, as_crc(i)) for d, i in stored}
+        at += r.n_tokens
+    assert [r.n_tokens for r in rows[1:]] == [len(i) for d, i in stored if d == 7]
+
+
+def test_a_vocabulary_that_joins_words_goes_through_the_library(make, tmp_path, monkeypatch):
+    whole = Tokenizer.from_file(WORD)
+    monkeypatch.setattr(orc_tokens._Chunks, "__missing__", None)
+    other = Tokenizer.from_str(whole.to_str())
+    other.pre_tokenizer = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False)
+    (tmp_path / "v.json").write_text(other.to_str())
+    assert not orc_tokens._Chunks(other.to_str()).by_chunk
+    monkeypatch.undo()
+    got = orc_tokens.encode_to_orc(make([(1, "The cat sat"), (2, None)]), str(tmp_path / "v.json")).collect()
+    assert {r.doc_id: r.ids_crc32 for r in got} == {1: as_crc(other.encode("The cat sat", add_special_tokens=False).ids + [1]), 2: as_crc([1])}
+
+
 def test_orc_prunes_and_reads_by_id(spark, make, tmp_path):
     path = f"file://{tmp_path}/t"
     orc_tokens.write_tokens(make([(i, f"text {i}") for i in range(50)]), path, WORD)
