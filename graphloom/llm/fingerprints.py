@@ -94,19 +94,49 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(estimate)
 
 
-def following(ids: DataFrame) -> DataFrame:
-    """(doc_id, next_id) in descending order of distinct doc_ids; after the last comes the first.
+#: Quantiles of doc_id that bound its ranges, and ranges for each shuffle partition.
+QUANTILES, RANGES = 512, 4
 
-    Ids are dealt by range; a window runs within each range, and one row a range
-    links the ranges.
+
+def ranged(known: DataFrame) -> DataFrame:
+    """``known`` with part: ranges of doc_id with about as many rows each, ascending, far more than partitions.
+
+    Up to QUANTILES bounds come from quantiles; where more ranges are wanted,
+    each of those is divided evenly.
+    """
+    wanted = RANGES * int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q, each = min(QUANTILES, wanted), -(-wanted // QUANTILES)
+    found = known.agg(F.percentile_approx("doc_id", [i / q for i in range(q + 1)], F.lit(10_000)).alias("cuts"), F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).first()
+    inner = sorted(set(found.cuts or []) - {found.x})
+    bounds = [found.x or 0, *inner]
+    ends = [*inner, (found.y or 0) + 1]
+    nth = F.size(F.filter(F.lit(bounds), lambda c: c <= F.col("doc_id"))) - 1
+    at = lambda values: F.element_at(F.lit(values), nth + 1).cast("double")
+    inside = F.least(F.lit(each - 1), F.floor((F.col("doc_id") - at(bounds)) / (at(ends) - at(bounds)) * each)) if each > 1 else F.lit(0)
+    return known.withColumn("part", nth.cast("long") * each + inside)
+
+
+def with_next(known: DataFrame) -> DataFrame:
+    """(doc_id, text, next_id, next_text): the next document in descending order of doc_id; after the last, the first.
+
+    Of rows that share a doc_id the least text stands for it. The texts go
+    through one exchange, by range of doc_id; a window runs within each range,
+    and the greatest document of each range, alone, is looked up from the range above.
     """
-    ranged = materialize(ids.select("doc_id").distinct().repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()), "fingerprint-ids")
-    within = ranged.withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("part").orderBy(F.desc("doc_id"))))
-    ends = ranged.groupBy("part").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    around = Window.orderBy(F.desc("least"))
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = ends.select("part", F.coalesce(F.lead("most").over(around), F.max("most").over(everything)).alias("over"))
-    return within.join(ends, "part").select("doc_id", F.coalesce("next_id", "over").alias("next_id"))
+    rows = ranged(known)
+    ends = rows.groupBy("part").agg(F.max("doc_id").alias("most"))
+    around = Window.orderBy("part")
+    whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # One row a range: the greatest id of the range below, for the lowest the greatest of all.
+    ends = ends.select("part", F.coalesce(F.lag("most").over(around), F.max("most").over(whole)).alias("over"))
+    ends = materialize(ends, "fingerprint-ranges")
+    heads = known.join(ends.select(F.col("over").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("over_text"))
+    heads = ends.join(heads, F.col("over") == F.col("doc_id")).select("part", "over", "over_text")
+    up = Window.partitionBy("part").orderBy("doc_id", F.desc("text"))
+    last = F.coalesce(F.lead("doc_id").over(up) != F.col("doc_id"), F.lit(True))  # the least text of its id
+    before = F.last(F.when(F.col("last"), F.struct("doc_id", "text")), ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("last", last).withColumn("before", before).join(heads, "part")
+    return rows.select("doc_id", "text", F.coalesce("before.doc_id", "over").alias("next_id"), F.coalesce("before.text", "over_text").alias("next_text"))
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
@@ -120,21 +150,14 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     An empty table gives an empty result; other columns are ignored.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    known = base.filter("doc_id is not null")
-    sizes = materialize(known.select("doc_id", F.char_length("text").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n")), "fingerprint-sizes")
-    after = following(sizes).join(sizes, "doc_id").select(F.col("doc_id").alias("owner"), F.col("next_id").alias("doc_id"), F.floor(F.col("n") / 3).cast("int").alias("need"))
-    # Both joins below read one exchange of the texts.
-    known = known.repartition("doc_id")
-    heads = known.join(after, "doc_id").select(F.col("owner").alias("doc_id"), F.col("doc_id").alias("next_id"), F.expr("substring(text, 1, need)").alias("head"))
-    heads = heads.groupBy("doc_id").agg(F.min("next_id").alias("next_id"), F.min("head").alias("head"))
-    both = known.join(heads, "doc_id").unionByName(
-        base.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("long").alias("next_id"), F.lit("").alias("head"))
+    both = with_next(base.filter("doc_id is not null")).unionByName(
+        base.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("long").alias("next_id"), F.lit("").alias("next_text"))
     )
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
     edited = both.select(
         "doc_id", "next_id", n.cast("long").alias("n_chars"), "text",
-        F.concat(F.substring("text", F.lit(1), n - third), F.substring("head", F.lit(1), third)).alias("edited"),
+        F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third)).alias("edited"),
     )
     prints = materialize(
         edited.select("doc_id", "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), packed(F.col("text")).alias("fp"), packed(F.col("edited")).alias("edited_fp")),

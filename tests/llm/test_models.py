@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -100,15 +101,44 @@ def test_fingerprints_estimate_jaccard(make):
         w = t.lower().split()
         return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
-    order, errors = sorted(text, reverse=True), []
+    order, errors, nexts = sorted(text, reverse=True), [], []
     for i, d in enumerate(order):
         nxt, n = text[order[(i + 1) % len(order)]], len(text[d])
         a, b = shingles(text[d]), shingles(text[d][: n - n // 3] + nxt[: n // 3])
         errors.append(got[d].near_edited - (len(a & b) / len(a | b) if a | b else 1))
+        c = shingles(nxt)
+        nexts.append(got[d].near_next - (len(a & c) / len(a | c) if a | c else 1))
+        edited = text[d][: n - n // 3] + nxt[: n // 3]
+        assert (got[d].n_chars, got[d].edited_sha256) == (n, hashlib.sha256(edited.encode()).hexdigest())
+    assert np.sqrt(np.mean(np.square(nexts))) < 0.08
     assert np.sqrt(np.mean(np.square(errors))) < 0.08
     assert got[60].fingerprint == got[61].fingerprint == ""
 
 
+@pytest.mark.parametrize(("quantiles", "ranges"), [(512, 4), (2, 3), (3, 40)])
+def test_next_documents_across_ranges_and_repeated_ids(make, monkeypatch, quantiles, ranges):
+    monkeypatch.setattr(FP, "QUANTILES", quantiles)
+    monkeypatch.setattr(FP, "RANGES", ranges)
+    rng = random.Random(quantiles)
+    rows = [(rng.choice([-5, 7, 8, 9, 1000, 10**12, rng.randrange(500)]), f"{i} é{i} " * rng.randrange(4)) for i in range(90)]
+    least = {}
+    for d, t in rows:
+        least[d] = min(least.get(d, t), t, key=str.encode)
+    order = sorted(least, reverse=True)
+    after = {d: order[(i + 1) % len(order)] for i, d in enumerate(order)}
+    got = FP.with_next(make(rows).select("doc_id", "text")).collect()
+    assert sorted(tuple(r) for r in got) == sorted((d, t, after[d], least[after[d]]) for d, t in rows)
+
+
+def test_fingerprints_of_few_rows(make):
+    assert FP.compare_with_edits(make([])).count() == 0
+    (one,) = FP.compare_with_edits(make([(3, "abcdef")])).collect()
+    assert (one.n_chars, one.edited_sha256, one.near_next) == (6, hashlib.sha256(b"abcdab").hexdigest(), 1.0)
+    twice = FP.compare_with_edits(make([(3, "a b c"), (3, "a b c"), (None, "a b c"), (4, None)])).collect()
+    assert sorted(str(r.doc_id) for r in twice) == ["3", "3", "4", "None"]
+    assert len({r.fingerprint for r in twice if r.doc_id != 4}) == 1
+
+
 def test_divergence_rules(make):
     rows = [(1, None), (2, "a b c"), (3, "x y z w v " * 20), (4, "one\ntwo\none\n \n\nthree four five six seven eight nine #$"), (5, " ".join(f"the{i} and" for i in range(90)))]
     got = {r.doc_id: r for r in D.judge(make(rows)).collect()}
