@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .bloom import bloom_filter, may_hold
 from .components import connected_components
-from .scratch import drop, materialize
+from .scratch import drop, materialize, unused
 from .textops import U64, distinct_by_doc, mix, word_slices
 
 #: Ratio of a size band's ends, and the share of further parts that each set passes over.
@@ -385,6 +385,7 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
 
     Of repeated rows with that doc_id one stays; rows without a doc_id all stay.
     """
-    first = jaccard_components(docs, k, num, den).filter("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    kept = docs.join(first, F.col("doc_id").cast("long") == F.col("__first")).drop("__first").dropDuplicates(["doc_id"])
+    name = unused(docs, "first_id")
+    first = jaccard_components(docs, k, num, den).filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(first, F.col("doc_id").cast("long") == F.col(name)).drop(name).dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id is null"))

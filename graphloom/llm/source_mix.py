@@ -23,7 +23,7 @@ from itertools import cycle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .scratch import materialize, shared_dir
-from .sqltext import WORD
+from .sqltext import BLANK, WORD
 
 WEIGHTS, FACTOR, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Slots of the hash histogram of a source.
@@ -172,8 +172,12 @@ def shuffled(taken: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """(row_id, doc_id, source, copy, words, block, shard, position) of the mix of (doc_id, text, source)."""
-    rows = materialize(measured(docs).select("row_id", "doc_id", "source", "size"), "mix-rows")
+    """(row_id, doc_id, source, copy, words, block, shard, position) of the mix of (doc_id, text, source).
+
+    Texts without a word are in no shard; repeated rows are told apart by row_id;
+    an empty table gives an empty result; other columns are ignored.
+    """
+    rows = materialize(measured(docs.select("doc_id", "text", "source")).select("row_id", "doc_id", "source", "size"), "mix-rows")
     return shuffled(copies(draw(rows)))
 
 
@@ -191,9 +195,32 @@ def mixed_words(docs: DataFrame) -> DataFrame:
     return drawn.join(sums, "row_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("mixed", F.lit(0)).alias("taken"))
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """``text`` up to the end of its ``n``-th word."""
+    pieces = F.regexp_extract_all(text, F.lit(f"{BLANK}*{WORD}"), F.lit(0))
+    return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
+
+
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` as the mix has them: a row for each copy, shard by shard in the shards' order."""
-    rows = materialize(measured(docs), "mix-documents")
-    drawn = draw(rows.select("row_id", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "size"))
-    placed = shuffled(copies(drawn)).select("row_id", "shard", "position")
-    return rows.join(placed, "row_id").repartition("shard").sortWithinPartitions("shard", "position").select(*docs.columns)
+    """``docs`` as the mix has them: a row for each copy, in the order of shards and places in them.
+
+    A copy that the mix takes in part has its first words only, and its n_chars,
+    where there is one, counted anew. Texts without a word are never taken; a
+    null source is a source of its own; repeated rows are rows of their own; an
+    empty table gives an empty result. All other columns stay as they are,
+    whatever their names.
+    """
+    whole = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("text").cast("string").alias("text"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+    )
+    rows = materialize(measured(whole).drop("text"), "mix-documents")
+    drawn = draw(rows.select("row_id", "doc_id", "source", "size"))
+    placed = materialize(shuffled(copies(drawn)).select("row_id", "shard", "position", "words"), "mix-placed")
+    out = rows.join(placed, "row_id").repartitionByRange("shard").sortWithinPartitions("shard", "position")
+    part = F.col("words") < F.col("size")
+    text = F.when(part, first_words(F.col("doc.text").cast("string"), F.col("words"))).otherwise(F.col("doc.text"))
+    made = {"text": text.cast(docs.schema["text"].dataType)}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.when(part, F.char_length(text)).otherwise(F.col("doc.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(made.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
