@@ -21,10 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .worker import holds, tidy
+
 #: Code points of a chunk, and of what it shares with the next one.
 CHUNK, OVERLAP = 16_384, 512
 #: Pieces that a Python worker remembers; it starts anew beyond that.
-CACHE = 300_000
+CACHE = 100_000
 
 _coders: dict[tuple, "_Coder"] = {}
 
@@ -37,11 +39,7 @@ class _Coder:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_text.splitlines())}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
-        size = max(ranks.values(), default=-1) + 1
-        self.bytes = [b""] * size
         self.known: dict[str, bytes] = {}
-        for k, v in ranks.items():
-            self.bytes[v] = k
 
     def ids(self, text: str) -> bytes:
         return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
@@ -61,6 +59,7 @@ class _Coder:
 
 
 def _coder(ranks, pattern: str) -> _Coder:
+    holds("byte_bpe", _coders.clear)
     key = (hashlib.sha256(ranks.value).digest(), pattern)
     if key not in _coders:
         _coders.clear()
@@ -68,6 +67,12 @@ def _coder(ranks, pattern: str) -> _Coder:
     return _coders[key]
 
 
+def _bytes_of_ids(ranks) -> list[bytes]:
+    """The raw bytes of each id: all that decoding needs."""
+    found = {int(b): base64.b64decode(a) for a, b in map(bytes.split, ranks.value.splitlines())}
+    return [found.get(i, b"") for i in range(max(found, default=-1) + 1)]
+
+
 def stitch(coder: _Coder, chunks: list[tuple[int, str, list[int]]]) -> list[str]:
     """The document's pieces, from its chunks: start, text (with the overlap), boundaries within the text."""
     pieces: list[str] = []
@@ -102,7 +107,7 @@ def _short(ranks, pattern: str):
                     at += 1
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, at - a), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
-    return run
+    return tidy(run)
 
 
 def _boundaries(ranks, pattern: str):
@@ -112,7 +117,7 @@ def _boundaries(ranks, pattern: str):
             bounds = [np.array(coder.spans(t), "<i4").tobytes() for t in batch.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bounds, pa.binary())], ["row", "start", "doc_id", "times", "piece", "bounds"])
 
-    return run
+    return tidy(run)
 
 
 def _join_chunks(ranks, pattern: str):
@@ -136,7 +141,7 @@ def _join_chunks(ranks, pattern: str):
         if chunks:
             yield done(*doc, chunks)
 
-    return run
+    return tidy(run)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -162,9 +167,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, o
     return short.unionByName(joined)
 
 
-def _decoded(ranks, pattern: str):
+def _decoded(ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _coder(ranks, pattern).bytes
+        table = _bytes_of_ids(ranks)
         for batch in batches:
             n, sha, back = [], [], []
             for x in batch.column(1):
@@ -178,26 +183,26 @@ def _decoded(ranks, pattern: str):
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return run
+    return tidy(run)
 
 
-def _texts(ranks, pattern: str):
+def _texts(ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _coder(ranks, pattern).bytes
+        table = _bytes_of_ids(ranks)
         for batch in batches:
             out = [b"".join(map(table.__getitem__, np.frombuffer(x.as_buffer(), "<u4").tolist())) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "bytes"])
 
-    return run
+    return tidy(run)
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, bytes): the concatenated raw bytes of the ids."""
     ranks = encoded.sparkSession.sparkContext.broadcast(Path(ranks_path).read_bytes())
-    return encoded.select("doc_id", "ids").mapInArrow(_texts(ranks, pattern), "doc_id long, bytes binary")
+    return encoded.select("doc_id", "ids").mapInArrow(_texts(ranks), "doc_id long, bytes binary")
 
 
 def digest(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded documents."""
     ranks = encoded.sparkSession.sparkContext.broadcast(Path(ranks_path).read_bytes())
-    return encoded.select("doc_id", "ids").mapInArrow(_decoded(ranks, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.select("doc_id", "ids").mapInArrow(_decoded(ranks), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

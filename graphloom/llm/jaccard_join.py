@@ -38,6 +38,7 @@ from .bloom import bloom_filter, may_hold
 from .components import connected_components
 from .scratch import drop, materialize, unused
 from .textops import U64, distinct_by_doc, mix, word_slices
+from .worker import tidy
 
 #: Ratio of a size band's ends, and the share of further parts that each set passes over.
 BAND_RATIO, SLACK = 1.4, 0.3
@@ -128,9 +129,10 @@ def _sketch(k: int, num: int, den: int):
                 cols = [ids.slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(sid, mask=size == 0), lists]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "set_id", "regions"])
 
-    return run
+    return tidy(run)
 
 
+@tidy
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(pivot, set) of the sets beside the pivot, from rows (region, set) in order."""
     region = pivot = last = None
@@ -163,7 +165,7 @@ def _sets(k: int, sets, docs):
                     [pa.array(sid[first]), pa.array([h[ends[i] : ends[i + 1]].tobytes() for i in first], pa.binary())], ["set_id", "members"]
                 )
 
-    return run
+    return tidy(run)
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -206,6 +208,7 @@ def _hashes(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), U64) for x in column]
 
 
+@tidy
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole groups of rows that agree in the first column, from rows in order."""
     held: list[pa.RecordBatch] = []
@@ -240,7 +243,7 @@ def _join_cells(num: int, den: int):
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return run
+    return tidy(run)
 
 
 _NEAR = "sub long, set_id long, members binary, j long, away long, core boolean"
@@ -272,7 +275,7 @@ def _by_pivots(num: int, den: int):
                 types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["sub", "set_id", "members", "j", "away", "core"])
 
-    return run
+    return tidy(run)
 
 
 def _large(rows: DataFrame) -> DataFrame:

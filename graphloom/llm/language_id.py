@@ -12,7 +12,7 @@ a bound, so the cost follows the distinct words.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .folds import held_out, lowest_hashed
+from .scratch import unused
 from .textops import Words, text_buffers, word_slices
+from .worker import holds, tidy
 
 #: Labelled documents of each language that are learned from, whole texts.
 SAMPLE = 300
@@ -210,12 +212,13 @@ def training_texts(docs: DataFrame, sample: int = SAMPLE) -> dict[str, list[str]
 _state: dict = {}
 
 
-def _predict(model, key: int, with_text: bool = False):
+def _predict(model, key: int, with_text: bool = False, names: Sequence[str] = ("lang_pred", "score")):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
+        holds("language_id", _state.clear)
         if _state.get("key") != key:
             _state.update(key=key, hash=np.zeros(0, np.uint64), log=np.zeros((0, len(m.languages)), np.float32))
-        names = pa.array([*m.languages, UNDETERMINED])
+        labels = pa.array([*m.languages, UNDETERMINED])
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             kept = [i for i, name in enumerate(batch.schema.names) if name != "text" or with_text]
@@ -240,11 +243,11 @@ def _predict(model, key: int, with_text: bool = False):
                     if t is None or not any(map(str.isalpha, t)):
                         best[i], score[i] = len(m.languages), 0.0
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(a, b - a) for i in kept), names.take(pa.array(best)), pa.array(score)],
-                    [*(batch.schema.names[i] for i in kept), "lang_pred", "score"],
+                    [*(batch.column(i).slice(a, b - a) for i in kept), labels.take(pa.array(best)), pa.array(score)],
+                    [*(batch.schema.names[i] for i in kept), *names],
                 )
 
-    return run
+    return tidy(run)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -276,7 +279,8 @@ def keep_identified(docs: DataFrame, model_path: str) -> DataFrame:
     model = _learn(docs, model_path)
     if not model.languages:
         return docs.filter(F.col("text").rlike("\\p{L}"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __lang_pred string, __score double"
+    names = [unused(docs, "lang_pred"), unused(docs, "score")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{names[0]}` string, `{names[1]}` double"
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.mapInArrow(_predict(shared, zlib.crc32(model.p.tobytes()), with_text=True), schema)
-    return rows.filter(F.col("__lang_pred") != UNDETERMINED).drop("__lang_pred", "__score")
+    rows = docs.mapInArrow(_predict(shared, zlib.crc32(model.p.tobytes()), with_text=True, names=names), schema)
+    return rows.filter(F.col(names[0]) != UNDETERMINED).drop(*names)

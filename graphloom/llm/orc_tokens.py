@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .scratch import fresh_path, materialize
 from .textops import word_slices
+from .worker import holds, tidy
 
 END_ID = 1
 #: Bytes of chunks and ids that a Python worker remembers, in each of two generations, and those of an entry besides.
@@ -92,6 +93,7 @@ class _Chunks(dict):
 
 def _encode(vocabulary, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("orc_tokens", _encoders.clear)
         key = zlib.crc32(vocabulary.value.encode())
         if key not in _encoders:
             _encoders.clear()
@@ -121,7 +123,7 @@ def _encode(vocabulary, end_id: int):
                 row += b - a
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), rows, lists], ["doc_id", "row", "ids"])
 
-    return run
+    return tidy(run)
 
 
 _FILE = "doc_id long, row long, ids array<int>"
@@ -157,6 +159,7 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
     return out if doc_ids is None else out.filter(F.col("doc_id").isin(*doc_ids))
 
 
+@tidy
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(2)

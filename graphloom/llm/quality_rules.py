@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .folds import held_out, lowest_hashed
 from .scratch import materialize
 from .textops import distinct_by_doc, word_slices
+from .worker import tidy
 
 #: Labelled documents that are learned from.
 SAMPLE = 20_000
@@ -68,6 +69,7 @@ def _lines(words) -> np.ndarray:
     return every - np.bincount(distinct_by_doc(h, doc)[1], minlength=words.n_docs), every
 
 
+@tidy
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, words in word_slices(batch.column(1), lower=False):

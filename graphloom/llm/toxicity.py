@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from .folds import held_out, lowest_hashed
 from .scratch import materialize
 from .textops import NOT_ALNUM, Words, distinct_by_doc, word_slices
+from .worker import tidy
 
 #: Texts that are learned from: confirmed toxic ones, and unlabelled ones.
 POSITIVES, UNLABELLED = 4000, 12000
@@ -98,6 +99,7 @@ def _features(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([h for h, _ in parts]), np.concatenate([d for _, d in parts])
 
 
+@tidy
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of each kind that hold a word, summed within a slice."""
     for batch in batches:
@@ -123,7 +125,7 @@ def _held(chosen):
                 rows = pa.array([h[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), rows], ["doc_id", "p", "u", "words"])
 
-    return run
+    return tidy(run)
 
 
 def _telling(sample: DataFrame, n_p: int, n_u: int) -> np.ndarray:
@@ -173,7 +175,7 @@ def _score(model):
                 h, doc = distinct_by_doc(h[hit], doc[hit])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(_sigmoid(m.logits(h, doc, words.n_docs)))], ["doc_id", "score"])
 
-    return run
+    return tidy(run)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
