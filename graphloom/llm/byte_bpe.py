@@ -94,6 +94,11 @@ def stitch(coder: _Coder, chunks: list[tuple[int, str, list[int]]]) -> list[str]
     return pieces + [text[a:b] for a, b in zip(here[:-1], here[1:])]
 
 
+def _forget() -> None:
+    """Encoder and decoder run in two workers of a task: between tasks neither keeps its tables."""
+    _coders.clear()
+
+
 def _short(ranks, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(ranks, pattern)
@@ -107,7 +112,7 @@ def _short(ranks, pattern: str):
                     at += 1
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, at - a), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
-    return tidy(run)
+    return tidy(run, _forget)
 
 
 def _boundaries(ranks, pattern: str):
@@ -117,7 +122,7 @@ def _boundaries(ranks, pattern: str):
             bounds = [np.array(coder.spans(t), "<i4").tobytes() for t in batch.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bounds, pa.binary())], ["row", "start", "doc_id", "times", "piece", "bounds"])
 
-    return tidy(run)
+    return tidy(run, _forget)
 
 
 def _join_chunks(ranks, pattern: str):
@@ -141,7 +146,7 @@ def _join_chunks(ranks, pattern: str):
         if chunks:
             yield done(*doc, chunks)
 
-    return tidy(run)
+    return tidy(run, _forget)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

@@ -212,19 +212,25 @@ def training_texts(docs: DataFrame, sample: int = SAMPLE) -> dict[str, list[str]
 _state: dict = {}
 
 
+def _known(key: int, languages: int) -> dict:
+    """The worker's cache of words' scores under a model, kept from task to task."""
+    holds("language_id", _state.clear)
+    if _state.get("key") != key:
+        _state.update(key=key, hash=np.zeros(0, np.uint64), log=np.zeros((0, languages), np.float32))
+    return _state
+
+
 def _predict(model, key: int, with_text: bool = False, names: Sequence[str] = ("lang_pred", "score")):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        holds("language_id", _state.clear)
-        if _state.get("key") != key:
-            _state.update(key=key, hash=np.zeros(0, np.uint64), log=np.zeros((0, len(m.languages)), np.float32))
+        state = _known(key, len(m.languages))
         labels = pa.array([*m.languages, UNDETERMINED])
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             kept = [i for i, name in enumerate(batch.schema.names) if name != "text" or with_text]
-            for a, b, w in word_slices(texts, limit=4 << 20):
+            for a, b, w in word_slices(texts):
                 seen, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
-                known, log = _state["hash"], _state["log"]
+                known, log = state["hash"], state["log"]
                 at = np.minimum(np.searchsorted(known, seen), max(0, len(known) - 1))
                 new = np.flatnonzero(known[at] != seen) if len(known) else np.arange(len(seen))
                 if len(new):
@@ -233,7 +239,7 @@ def _predict(model, key: int, with_text: bool = False, names: Sequence[str] = ("
                     fresh = m.words(w.data, w.start[first[new]], w.end[first[new]]).astype(np.float32)
                     known, log = np.concatenate([known, seen[new]]), np.concatenate([log, fresh])
                     order = np.argsort(known, kind="stable")
-                    _state["hash"], _state["log"] = known, log = known[order], log[order]
+                    state["hash"], state["log"] = known, log = known[order], log[order]
                 each = log[np.searchsorted(known, seen)][back]
                 total = np.stack([np.bincount(w.doc, each[:, c].astype(float), minlength=w.n_docs) for c in range(each.shape[1])], 1)
                 best = total.argmax(1)

@@ -91,14 +91,19 @@ class _Chunks(dict):
         return out
 
 
+def _chunks_of(vocabulary: str) -> _Chunks:
+    """The worker's cache for a vocabulary, kept from task to task."""
+    holds("orc_tokens", _encoders.clear)
+    key = zlib.crc32(vocabulary.encode())
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = _Chunks(vocabulary)
+    return _encoders[key]
+
+
 def _encode(vocabulary, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        holds("orc_tokens", _encoders.clear)
-        key = zlib.crc32(vocabulary.value.encode())
-        if key not in _encoders:
-            _encoders.clear()
-            _encoders[key] = _Chunks(vocabulary.value)
-        chunks, row = _encoders[key], 0
+        chunks, row = _chunks_of(vocabulary.value), 0
         get, end = chunks.__getitem__, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for a, b, w in word_slices(batch.column(1), lower=False):

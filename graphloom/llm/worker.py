@@ -27,17 +27,19 @@ def holds(name: str, clear: Callable[[], None]) -> None:
         for other in _caches.values():
             other()
         _caches.clear()
-        _caches[name] = clear
+    _caches[name] = clear
 
 
-def tidy(run):
-    """An Arrow batch function that, at its end, gives back the memory that idle workers would keep."""
+def tidy(run, clear: Callable[[], None] | None = None):
+    """An Arrow batch function that, at its end, gives back the memory that idle workers would keep; after ``clear``."""
 
     @functools.wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
+            if clear is not None:
+                clear()
             _give_back()
 
     return wrapped
