@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import config as C
 from .functions import redact as R
 from .functions import text as T
-from .operators import graph, link, select as S
-from .sources import facts, packages as P, signals
+from .operators import graph, link, overrides, select as S, tools
+from .sources import facts, listing, packages as P, signals
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -296,6 +296,111 @@ def resolve_name(spark, sf):
     return S.resolve(names, asked).select("asked", "tier", "n", "name")
 
 
+# ---------------------------------------------------------------- tools over the stored graph
+
+
+def _edges(spark, sf):
+    """Orders lead to their customers by priority; customers to their nation."""
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    a = o.select(F.concat(F.lit("o"), F.col("o_orderkey") % 97).alias("from"), F.concat(F.lit("c"), "o_custkey").alias("to"), F.col("o_orderpriority").alias("kind"))
+    b = c.select(F.concat(F.lit("c"), "c_custkey").alias("from"), F.concat(F.lit("n"), "c_nationkey").alias("to"), F.col("c_mktsegment").alias("kind"))
+    return a.unionByName(b).distinct().withColumn("key", F.lower("to"))
+
+
+_EDGES = """e AS (SELECT DISTINCT *, lower("to") AS key FROM (SELECT 'o' || (o_orderkey % 97) AS "from", 'c' || o_custkey AS "to", o_orderpriority AS kind FROM orders
+ UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_mktsegment FROM customer))"""
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, r AS (SELECT 'n3' AS node, 0 AS hop UNION SELECT e."from", r.hop + 1 FROM r JOIN e ON e."to" = r.node WHERE r.hop < 3),
+ h AS (SELECT node, min(hop) AS hop FROM r GROUP BY node),
+ v AS (SELECT h.node, h.hop, e."to" AS via, e.kind, e.key, row_number() OVER (PARTITION BY h.node ORDER BY e."to", e.kind, e.key) AS i
+  FROM h JOIN e ON e."from" = h.node JOIN h p ON p.node = e."to" AND p.hop = h.hop - 1)
+SELECT node, CAST(hop AS INTEGER) AS hop, via, kind, key FROM v WHERE i = 1""")
+def impact_edges(spark, sf):
+    return tools.impact_edges(_edges(spark, sf), "n3", 3)
+
+
+@query(f"""WITH {_EDGES} SELECT true AS directed, 2 AS hops, min(a."from" || '>' || a."to" || '>' || b."to") AS path
+FROM e a JOIN e b ON a."to" = b."from" WHERE a."from" = 'o5' AND b."to" = 'n3'""")
+def find_path(spark, sf):
+    return tools.find_path(_edges(spark, sf), "o5", "n3").select("directed", "hops", F.array_join("path", ">").alias("path"))
+
+
+@query(f"""WITH {_EDGES} SELECT "from", kind, key FROM e WHERE "to" = 'n3' AND kind = 'BUILDING'""")
+def dependents_of_kind(spark, sf):
+    return tools.dependents(_edges(spark, sf), "n3", "BUILDING").select("from", "kind", "key")
+
+
+@query(f"""WITH {_EDGES} SELECT 'internal' AS section, kind, key, "to" AS target FROM e WHERE "from" = 'o5'
+UNION ALL SELECT 'external', n_name, lower(n_name), r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE 'o' || n_nationkey = 'o5'
+UNION ALL SELECT 'unresolved', s_name, s_name, NULL FROM supplier WHERE 'o' || (s_suppkey % 97) = 'o5'
+UNION ALL SELECT 'generic', p_brand, p_type, NULL FROM part WHERE 'o' || (p_partkey % 97) = 'o5'""")
+def dependencies(spark, sf):
+    one = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    external = one.select(F.concat(F.lit("o"), "n_nationkey").alias("from"), F.col("r_name").alias("to"), F.col("n_name").alias("kind"), F.lower("n_name").alias("key"))
+    unresolved = table(spark, sf, "supplier").select(F.concat(F.lit("o"), F.col("s_suppkey") % 97).alias("repo"), F.col("s_name").alias("kind"), F.col("s_name").alias("key"))
+    generic = table(spark, sf, "part").select(F.concat(F.lit("o"), F.col("p_partkey") % 97).alias("repo"), F.col("p_brand").alias("kind"), F.col("p_type").alias("key"))
+    return tools.dependencies(_edges(spark, sf), unresolved, external, generic, "o5")
+
+
+@query("""SELECT r_name AS id, r_name AS label, 'region' AS kind, coalesce(string_agg(DISTINCT n_name, ',' ORDER BY n_name), '') AS consumers
+FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey % 3 = 0 GROUP BY r_name""")
+def external_dependencies(spark, sf):
+    nodes = table(spark, sf, "region").select(F.col("r_name").alias("id"), F.lit("").alias("label"), F.lit("region").alias("kind"))
+    used = table(spark, sf, "nation").filter("n_nationkey % 3 = 0").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    out = tools.external_dependencies(nodes, used.select(F.col("n_name").alias("from"), F.col("r_name").alias("to")))
+    return out.withColumn("consumers", F.array_join("consumers", ","))
+
+
+@query("""SELECT count(*) AS count, (SELECT string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) FROM customer) AS domains FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3""")
+def list_repos(spark, sf):
+    repos = table(spark, sf, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("domain"), F.col("c_nationkey").cast("string").alias("kind"))
+    return tools.list_repos(repos, "BUILDING", "3")[1].withColumn("domains", F.array_join("domains", ","))
+
+
+@query("""WITH r AS (SELECT lower(trim(p_type)) AS target, 'r' || (p_partkey % 7) AS repo, p_brand AS kind, p_name AS evidence FROM part)
+SELECT target, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, count(DISTINCT repo) AS consumers FROM r GROUP BY target""")
+def unresolved_targets(spark, sf):
+    rows = table(spark, sf, "part").select(
+        F.concat(F.lit("r"), F.col("p_partkey") % 7).alias("repo"), F.col("p_brand").alias("kind"), F.concat(F.lit(" "), F.upper("p_type")).alias("key"),
+        F.col("p_name").alias("evidence"), F.array().cast("array<string>").alias("candidates"),
+    )
+    out = overrides.unresolved_targets(rows)
+    return out.select("target", F.array_join("kinds", ",").alias("kinds"), F.size("consumers").cast("long").alias("consumers"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 AND o_orderkey % 3 = 0 THEN 'link' WHEN o_custkey % 5 = 0 THEN 'generic' END AS action FROM orders""")
+def override_join(spark, sf):
+    consumes = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("r"), F.col("o_orderkey") % 3).alias("repo"), F.concat(F.lit(" K"), F.col("o_custkey") % 5).alias("key"))
+    targets = spark.createDataFrame([("k0", "r0", "link", "x", None, None, None), ("K0 ", None, "generic", None, None, "t", "g")], "key string, repo string, action string, to string, external string, tag string, `group` string")
+    return overrides.answered(consumes, targets).select("o_orderkey", "action")
+
+
+@query("""SELECT 'g' || (p_size % 9) AS "group", 'g' || (p_size % 9) AS label, arg_min(p_type, ('r' || (p_partkey % 4), p_brand, p_name)) AS tag, string_agg(DISTINCT 'r' || (p_partkey % 4), ',' ORDER BY 'r' || (p_partkey % 4)) AS repos
+FROM part GROUP BY p_size % 9 HAVING count(DISTINCT p_partkey % 4) > 1""")
+def generic_groups(spark, sf):
+    rows = table(spark, sf, "part").select(
+        F.concat(F.lit("g"), F.col("p_size") % 9).alias("group"), F.concat(F.lit("r"), F.col("p_partkey") % 4).alias("repo"), F.col("p_brand").alias("kind"), F.col("p_name").alias("key"), F.col("p_type").alias("tag")
+    )
+    groups = spark.createDataFrame([], "`group` string, label string, tag string")
+    return overrides.generic_groups(rows, groups).withColumn("repos", F.array_join("repos", ","))
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages), s AS (SELECT *, string_split(path, '/') AS x FROM p)
+SELECT page_id, path FROM s WHERE len(x) - 1 <= 4 AND path NOT LIKE '/%' AND NOT list_contains(x, '..')
+ AND len(list_filter(x[1:len(x) - 1], lambda d: d IN ('node_modules', 'vendor', 'dist', 'build', 'target', 'venv', '__pycache__', 'site-packages') OR (d LIKE '.%' AND d <> '.github'))) = 0""")
+def file_listing(spark, sf):
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    return listing.tracked(table(spark, sf, "pages").select("page_id", path.alias("path")))
+
+
+@query("""SELECT event_id, CASE WHEN event_id < 1024 THEN event_id || ' B' WHEN event_id < 1048576 THEN printf('%.1f KB', event_id / 1024.0) ELSE printf('%.1f MB', event_id / 1048576.0) END AS size,
+ CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'unassigned' END AS domain, CASE WHEN event_type IN ('click', 'view') THEN '' ELSE event_type END AS rejected FROM events""")
+def labels_of_runs(spark, sf):
+    domain, rejected = T.gated_domain(F.col("event_type"), ["click", "view"])
+    return table(spark, sf, "events").select("event_id", T.human_bytes(F.col("event_id")).alias("size"), domain.alias("domain"), rejected.alias("rejected"))
+
+
 # ---------------------------------------------------------------- gates, merges, refresh
 
 

@@ -150,3 +150,45 @@ def full_due(last_full: Column, now: Column, days: int) -> Column:
     zoned = last_full.rlike(r"(?:Z|[+-]\d\d:?\d\d)\z")
     at = F.try_to_timestamp(last_full)
     return F.coalesce(~zoned | at.isNull() | (at < now - F.make_dt_interval(F.lit(days))), F.lit(True))
+
+
+def signal_key(category: Column, found: Column) -> Column:
+    """What a signal is counted by: of links the host without its port, null where it says nothing; else the lower-cased match."""
+    host = F.lower(F.substring_index(found, ":", 1))
+    return F.when(category != "url", F.lower(found)).otherwise(F.when(~under(host, C.NOISE_HOSTS), host))
+
+
+def domain_for(name: Column, patterns: dict[str, str]) -> Column:
+    """The domain of the first glob that fits a name; empty where none does."""
+    return F.coalesce(*(F.when(name.rlike(glob_pattern(g)), F.lit(d.strip().lower())) for g, d in patterns.items()), F.lit(""))
+
+
+def gated_domain(domain: Column, allowed: Sequence[str]) -> tuple[Column, Column]:
+    """(domain, rejected): a domain off the list is unassigned, and told of."""
+    said = F.lower(F.trim(F.coalesce(domain, F.lit(""))))
+    said = F.when(said == "", "unassigned").otherwise(said)
+    fits = said.isin(*allowed, "unassigned") if allowed else F.lit(True)
+    return F.when(fits, said).otherwise("unassigned"), F.when(fits, "").otherwise(said)
+
+
+def matters(path: Column) -> Column:
+    """Whether a changed file calls for a new mapping."""
+    return ~path_matches(path, C.IGNORED_CHANGES)
+
+
+def clip(text: Column, limit: int) -> Column:
+    """At most ``limit`` bytes of UTF-8, with " ..." where it was cut; no code point is split."""
+    raw, room = text.cast("binary"), max(0, limit - 4)
+    whole = F.coalesce(*(F.try_validate_utf8(F.substring(raw, 1, max(0, room - k)).cast("string")) for k in range(4)), F.lit(""))
+    return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat(whole, F.lit(" ...")))
+
+
+def human_bytes(n: Column) -> Column:
+    kb, mb = F.format_string("%.1f KB", F.bround(n / 1024.0, 1)), F.format_string("%.1f MB", F.bround(n / 1048576.0, 1))
+    return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).when(n < 1048576, kb).otherwise(mb)
+
+
+def human_seconds(s: Column) -> Column:
+    """Seconds, half to even, below a minute; else minutes and whole seconds."""
+    minutes = F.format_string("%dm%02ds", F.floor(s / 60), F.floor(s % 60))
+    return F.when(s < 60, F.concat(F.bround(s, 0).cast("long").cast("string"), F.lit("s"))).otherwise(minutes)
