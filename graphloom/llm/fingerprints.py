@@ -95,7 +95,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 #: Quantiles of doc_id that bound its ranges, and ranges for each shuffle partition.
-QUANTILES, RANGES = 512, 4
+QUANTILES, RANGES = 512, 16
 
 
 def ranged(known: DataFrame) -> DataFrame:
