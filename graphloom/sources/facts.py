@@ -60,7 +60,8 @@ def _row(kind: Column | str, key: Column, detail: Column | str) -> list[Column]:
     return ["repo", kind.alias("kind"), F.trim(key).alias("key"), detail.alias("detail"), F.concat("path", F.lit(":"), "n").alias("evidence")]
 
 
-def _first_per_key(rows: DataFrame) -> DataFrame:
+def first_per_key(rows: DataFrame) -> DataFrame:
+    """The first row, by kind, key and evidence, of each kind and key of a repository, whatever their case."""
     folded = rows.withColumn("__k", F.lower("kind")).withColumn("__n", F.lower("key"))
     return first_wins(folded.withColumnRenamed("__n", "__name"), ["repo", "__k", "__name"], ["kind", "key", "evidence"]).drop("__k", "__name")
 
@@ -80,7 +81,7 @@ def grpc_services(files: DataFrame, stoplist: Sequence[str] = C.GENERIC_IDENTIFI
     package, service = _part(r"^\s*package\s+([\w.]+)\s*;"), _part(r"^\s*service\s+(\w+)\s*\{")
     lines = _lines(files.filter(_base().endswith(".proto"))).withColumn("package", _last(F.nullif(package, F.lit(""))))
     found = lines.filter(F.col("package").isNotNull() & (service != "")).select(*_row("grpc", F.concat("package", F.lit("."), service), "grpc service"))
-    return _first_per_key(found.filter(~F.lower("key").isin(*stoplist)))
+    return first_per_key(found.filter(~F.lower("key").isin(*stoplist)))
 
 
 def terraform(files: DataFrame, stoplist: Sequence[str] = C.GENERIC_IDENTIFIERS) -> tuple[DataFrame, DataFrame]:
@@ -103,14 +104,15 @@ def terraform(files: DataFrame, stoplist: Sequence[str] = C.GENERIC_IDENTIFIERS)
         .unionByName(published(named.filter("r.kind = 'envvar'"), F.col("name"), "terraform published config key"))
         .unionByName(published(lines.filter(output != ""), output, "terraform output"))
     )
-    stores = _first_per_key(named.filter("r.store").select(*_row(F.col("r.kind"), F.col("name"), "")))
-    return _first_per_key(exposes), stores.select("repo", "kind", F.col("key").alias("name"), F.lit("owner").alias("access"), "evidence")
+    stores = first_per_key(named.filter("r.store").select(*_row(F.col("r.kind"), F.col("name"), "")))
+    return first_per_key(exposes), stores.select("repo", "kind", F.col("key").alias("name"), F.lit("owner").alias("access"), "evidence")
 
 
-def own_variables(files: DataFrame, names: DataFrame, stoplist: Sequence[str] = C.GENERIC_IDENTIFIERS) -> DataFrame:
-    """(repo, kind, key, detail, evidence): variables of example files that are named for the repository.
+def own_variables(files: DataFrame, names: DataFrame, stoplist: Sequence[str] = C.GENERIC_IDENTIFIERS, more: DataFrame | None = None) -> DataFrame:
+    """(repo, kind, key, detail, evidence): variables of example files, and ``more``, that are named for the repository.
 
-    names (repo, value): the repository's name and identifiers. A variable that
+    names (repo, value): the repository's name and identifiers. more (repo, name,
+    detail, evidence): variables that other files declare. A variable that
     isn't named for one of them is what the repository reads, not what it gives.
     """
     low, host = F.lower("value"), T.service_host(F.col("value"))
@@ -118,7 +120,10 @@ def own_variables(files: DataFrame, names: DataFrame, stoplist: Sequence[str] =
     forms = forms.select("repo", F.explode(F.array("form", F.regexp_replace("form", r"-(?:service|svc|api)\z", ""))).alias("form"))
     forms = forms.filter((F.col("form") != "") & ~F.col("form").isin(*stoplist)).distinct()
     declared = _part(r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=")
-    lines = _lines(files.filter(_base().isin(*ENV_FILES))).withColumn("env", T.env_name(declared))
-    lines = lines.filter((F.col("env") != "") & ~T.env_generic(F.col("env"), stoplist))
-    asked = lines.select("repo", "path", "n", "env", F.explode(T.env_forms(F.col("env"))).alias("form"))
-    return _first_per_key(asked.join(forms, ["repo", "form"], "left_semi").select(*_row("envvar", F.col("env"), "env example file")))
+    lines = _lines(files.filter(_base().isin(*ENV_FILES)))
+    rows = lines.select("repo", declared.alias("name"), F.lit("env example file").alias("detail"), F.concat("path", F.lit(":"), "n").alias("evidence"))
+    rows = (rows if more is None else rows.unionByName(more)).withColumn("key", T.env_name(F.col("name")))
+    rows = rows.filter((F.col("key") != "") & ~T.env_generic(F.col("key"), stoplist))
+    asked = rows.select("repo", "key", "detail", "evidence", F.explode(T.env_forms(F.col("key"))).alias("form"))
+    own = asked.join(forms, ["repo", "form"], "left_semi")
+    return first_per_key(own.select("repo", F.lit("envvar").alias("kind"), "key", "detail", "evidence"))
