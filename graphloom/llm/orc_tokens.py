@@ -8,8 +8,8 @@ parallel and skips those that can't hold the ids it looks for.
 
 Encoding is that of the ``tokenizers`` library, the strings of special tokens
 included. Where no pre-token holds white space, as in the vocabulary used here, a
-chunk between ASCII white space is encoded once and remembered, within a cache of
-bounded bytes; each miss goes through the library. Probes tell whether a
+chunk between ASCII white space is encoded once and remembered by its 64-bit hash,
+within a cache of bounded bytes; each miss goes through the library. Probes tell whether a
 vocabulary allows this; with any other, whole texts go through the library.
 """
 
@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .scratch import fresh_path, materialize
-from .textops import word_slices
+from .textops import Words, word_slices
 from .worker import holds, tidy
 
 END_ID = 1
-#: Bytes of chunks and ids that a Python worker remembers, in each of two generations, and those of an entry besides.
-CACHE_BYTES, ENTRY_BYTES = 80 << 20, 170
+#: Bytes of chunks' hashes and ids that a Python worker remembers; it starts anew beyond that, with the next slice.
+CACHE_BYTES = 64 << 20
 #: Texts whose encoding tells whether chunks, and words by the model alone, give the ids of whole texts.
 PROBES = ("the cat", "It's  2 on\tand\nu.s. naïve ÉTÉ", "straße x_y a-b 12345 it", "<|endoftext|> über\r\nÑandú, été!", " .a\x0bb\x0cc ")
 ROW_GROUP = 1000
@@ -40,28 +40,36 @@ STRIPE_BYTES = 16 << 20
 _PRINT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_PRINT))}
 
-_encoders: dict[int, "_Chunks"] = {}
+_encoders: dict[tuple[int, int], "_Chunks"] = {}
 
 
-class _Chunks(dict):
-    """ids of a white-space-free chunk, as bytes of little-endian 32-bit integers.
+class _Chunks:
+    """ids of white-space-free chunks, remembered by 64-bit hash in flat arrays.
 
-    When a generation is full it becomes the old one; chunks that are met again
-    move on to the new one, the others are forgotten with the old one.
+    ``hash`` is sorted; the ids of its i-th chunk are ``size[i]`` numbers of
+    ``flat`` from ``begin[i]``. ``flat`` begins with the end id. What doesn't fit
+    into CACHE_BYTES is forgotten as a whole, and encoded anew where it is met again.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.model = self.tokenizer.model
-        self.old: dict[bytes, bytes] = {}
-        self.used = 0
+        self.end_id = end_id
+        self.forget()
         words = [w for t in PROBES for w in t.encode().split()]
         #: Whether a text's ids are those of its chunks, and a plain word's those of the model by itself.
         self.by_chunk = all(self.library(t) == b"".join(map(self.library, t.encode().split())) for t in PROBES)
         self.by_model = self.by_chunk and all(self.library(w) == x for w in words if (x := self.word(w)) is not None)
 
+    def forget(self) -> None:
+        self.hash, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat = np.array([self.end_id], np.int32)
+
+    def nbytes(self) -> int:
+        return self.hash.nbytes + self.begin.nbytes + self.size.nbytes + self.flat.nbytes
+
     def library(self, text: str | bytes) -> bytes:
         text = text.decode() if isinstance(text, bytes) else text
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -74,54 +82,66 @@ class _Chunks(dict):
         shown = letters.lower() if stem.isascii() else letters.lower().encode().decode("latin-1").translate(_SHOWN)
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        out = self.old.pop(chunk, None)
+    def chunk(self, chunk: bytes, made: dict[bytes, bytes]) -> bytes:
+        """ids of one chunk; ``made`` holds those of this slice's words."""
+        out = made.get(chunk)
         if out is None:
             stem = chunk.rstrip(b".,!?;:") if self.by_model else chunk
             if self.by_model and 0 < len(stem) < len(chunk) and stem.decode().isalpha():
-                out = self[stem] + self[chunk[len(stem) :]]  # the signs are a pre-token of their own
-            else:
-                out = self.word(chunk) if self.by_model else None
-                out = self.library(chunk) if out is None else out
-        self.used += len(chunk) + len(out) + ENTRY_BYTES
-        if self.used > CACHE_BYTES:
-            self.old, self.used = dict(self), 0
-            self.clear()
-        self[chunk] = out
+                return self.chunk(stem, made) + self.chunk(chunk[len(stem) :], made)  # the signs are a pre-token of their own
+            out = self.word(chunk) if self.by_model else None
+            out = made[chunk] = self.library(chunk) if out is None else out
         return out
 
-
-def _chunks_of(vocabulary: str) -> _Chunks:
+    def lookup(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index, begin, size): each word's index among the distinct chunks, and those chunks' places in ``flat``."""
+        seen, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
+        if self.nbytes() > CACHE_BYTES:
+            self.forget()
+        at = np.searchsorted(self.hash, seen)
+        known = np.zeros(len(seen), bool)
+        known[at < len(self.hash)] = self.hash[at[at < len(self.hash)]] == seen[at < len(self.hash)]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw, made = w.data.tobytes(), {}
+            found = [self.chunk(raw[s:e], made) for s, e in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist())]
+            size = np.fromiter(map(len, found), np.int32, len(found)) // 4
+            begin = len(self.flat) + np.cumsum(size, dtype=np.int64) - size
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(found), np.int32)])
+            self.hash, self.begin, self.size = (np.insert(old, at[new], more) for old, more in ((self.hash, seen[new]), (self.begin, begin), (self.size, size)))
+            at = np.searchsorted(self.hash, seen)
+        return which, self.begin[at], self.size[at].astype(np.int64)
+
+
+def _chunks_of(vocabulary: str, end_id: int) -> _Chunks:
     """The worker's cache for a vocabulary, kept from task to task."""
     holds("orc_tokens", _encoders.clear)
-    key = zlib.crc32(vocabulary.encode())
+    key = (zlib.crc32(vocabulary.encode()), end_id)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = _Chunks(vocabulary)
+        _encoders[key] = _Chunks(vocabulary, end_id)
     return _encoders[key]
 
 
 def _encode(vocabulary, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, row = _chunks_of(vocabulary.value), 0
-        get, end = chunks.__getitem__, np.array([end_id], "<u4").tobytes()
+        chunks, row = _chunks_of(vocabulary.value, end_id), 0
+        end = array("I", [end_id]).tobytes()
         for batch in batches:
             for a, b, w in word_slices(batch.column(1), lower=False):
                 if chunks.by_chunk:
                     # A slice's distinct chunks are looked up once each, and laid out by index.
-                    _, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
-                    raw = w.data.tobytes()
-                    found = [get(raw[s:e]) for s, e in zip(w.start[first].tolist(), w.end[first].tolist())] + [end]
-                    which = np.insert(which, w.first[1:], len(found) - 1)  # each document's end
+                    which, begin, size = chunks.lookup(w)
+                    begin, size, flat = np.append(begin, 0), np.append(size, 1), chunks.flat
+                    which = np.insert(which, w.first[1:], len(begin) - 1)  # each document's end
                     words_upto = w.first + np.arange(w.n_docs + 1)
                 else:
                     found = [chunks.library(t or "") + end for t in batch.column(1).slice(a, b - a).to_pylist()]
                     which, words_upto = np.arange(len(found)), np.arange(len(found) + 1)
-                size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-                flat = np.frombuffer(b"".join(found), np.int32)
+                    size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+                    begin, flat = np.cumsum(size) - size, np.frombuffer(b"".join(found), np.int32)
                 count = size[which]
                 upto = np.concatenate([[0], np.cumsum(count)])
-                begin = np.cumsum(size) - size
                 ids = flat[np.repeat(begin[which] - upto[:-1], count) + np.arange(upto[-1])]
                 lists = pa.ListArray.from_arrays(pa.array(upto[words_upto], pa.int32()), pa.array(ids))
                 rows = pa.array(np.arange(row, row + b - a))

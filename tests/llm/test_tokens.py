@@ -2,9 +2,11 @@ import base64
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import tokenizers
@@ -53,11 +55,11 @@ def test_start_follows_the_files_where_ids_repeat(spark, make, tmp_path):
 
 def test_a_vocabulary_that_joins_words_goes_through_the_library(make, tmp_path, monkeypatch):
     whole = Tokenizer.from_file(WORD)
-    monkeypatch.setattr(orc_tokens._Chunks, "__missing__", None)
+    monkeypatch.setattr(orc_tokens._Chunks, "lookup", None)
     other = Tokenizer.from_str(whole.to_str())
     other.pre_tokenizer = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False)
     (tmp_path / "v.json").write_text(other.to_str())
-    assert not orc_tokens._Chunks(other.to_str()).by_chunk
+    assert not orc_tokens._Chunks(other.to_str(), 1).by_chunk
     monkeypatch.undo()
     got = orc_tokens.encode_to_orc(make([(1, "The cat sat"), (2, None)]), str(tmp_path / "v.json")).collect()
     assert {r.doc_id: r.ids_crc32 for r in got} == {1: as_crc(other.encode("The cat sat", add_special_tokens=False).ids + [1]), 2: as_crc([1])}
@@ -102,3 +104,16 @@ def test_byte_bpe_digest(spark, make, encoding):
 
 def test_byte_bpe_empty_table(spark, make):
     assert byte_bpe.encode(make([]), RANKS, P.PATTERN).count() == 0
+
+
+def test_chunks_that_were_forgotten_are_encoded_anew(monkeypatch):
+    texts = ["the cat, the Cat. über-x", "", "a cat the", "<|endoftext|> cat, x9 das é"] * 3
+    text = Path(WORD).read_text()
+    whole = Tokenizer.from_file(WORD)
+    expected = [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    for room in (0, 200, 64 << 20):
+        monkeypatch.setattr(orc_tokens, "CACHE_BYTES", room)
+        monkeypatch.setattr(orc_tokens, "_encoders", {})
+        run = orc_tokens._encode(type("Shared", (), {"value": text}), 1)
+        batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t])], ["doc_id", "text"]) for i, t in enumerate(texts)]
+        assert [ids for b in run(iter(batches)) for ids in b.column(2).to_pylist()] == expected
