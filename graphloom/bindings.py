@@ -10,7 +10,7 @@ from . import config as C
 from .functions import redact as R
 from .functions import text as T
 from .operators import graph, link, overrides, select as S, tools
-from .sources import facts, listing, packages as P, signals
+from .sources import deploy, facts, listing, packages as P, signals
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -487,3 +487,42 @@ def code_owners(spark, sf):
     text = F.concat(F.lit("# rules\n/src @other\n* @team-"), "s_nationkey", F.lit(" @"), "s_suppkey", F.lit(" # all"))
     files = table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("repo"), F.lit("docs/CODEOWNERS").alias("path"), text.alias("content"))
     return facts.owners(files).select("repo", F.array_join("owners", ",").alias("owners"))
+
+
+# ---------------------------------------------------------------- deploy manifests
+
+
+def _deployed(spark, sf):
+    """For each supplier a service with an ingress, a compose file, a catalog, an API description and settings of its own and of others."""
+    k, nation = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    texts = {
+        "k8s/all.yaml": ["apiVersion: v1\nkind: Service\nmetadata:\n  name: Svc-", k, "  # name\n  namespace: 'ns", nation, "'\n---\napiVersion: n/v1\nkind: Ingress\nspec:\n  rules:\n  - host: s", k, ".acme.io\n---\napiVersion: v1\nkind: ConfigMap\ndata:\n  SVC_", k, "_URL: x\n  OTHERS_URL: |\n    # y\n"],
+        "docker-compose.yml": ["services:\n  worker-", k, ":\n    build: {context: .}\n    environment: [WORKER_", k, "_HOST=h, PAY_URL=u]\n  postgres:\n    image: postgres:15\n"],
+        "catalog-info.yaml": ["metadata:\n  name: cat-", k, "\nspec:\n  owner: team-", nation, "\n  providesApis: [&a api-", k, ", *a]\n"],
+        "api/openapi.json": ['{"info": {"title": "Prose title"}, "servers": [{"url": "https://S', k, '.acme.io/v1"}, {"url": "/v1"}]}'],
+        "broken.yaml": ["apiVersion: v1\nkind: Service\nmetadata:\n  name: broken-", k, "\n bad\n"],
+    }
+    parts = F.array(*(F.struct(F.lit(p).alias("path"), F.concat(*(F.lit(x) if isinstance(x, str) else x for x in t)).alias("content")) for p, t in texts.items()))
+    return table(spark, sf, "supplier").select(F.concat(F.lit("shop-"), k).alias("repo"), F.explode(parts).alias("f")).select("repo", "f.*")
+
+
+_REPO = "'shop-' || s_suppkey AS repo"
+
+
+@query(f"""SELECT {_REPO}, 'http' AS kind, 'Svc-' || s_suppkey AS key, 'kubernetes service' AS detail, 'k8s/all.yaml' AS evidence FROM supplier
+UNION ALL SELECT {_REPO}, 'http', 's' || s_suppkey || '.acme.io', 'openapi server', 'api/openapi.json' FROM supplier
+UNION ALL SELECT {_REPO}, 'envvar', 'SVC_' || s_suppkey || '_URL', 'kubernetes config map', 'k8s/all.yaml' FROM supplier
+UNION ALL SELECT {_REPO}, 'envvar', 'WORKER_' || s_suppkey || '_HOST', 'compose environment', 'docker-compose.yml' FROM supplier""")
+def deploy_exposes(spark, sf):
+    return deploy.all_facts(_deployed(spark, sf))[1]
+
+
+@query(f"""SELECT {_REPO}, unnest(['Svc-' || s_suppkey, 'Svc-' || s_suppkey || '.ns' || s_nationkey || '.svc.cluster.local', 's' || s_suppkey || '.acme.io',
+ 'worker-' || s_suppkey, 'cat-' || s_suppkey, 'api-' || s_suppkey]) AS value FROM supplier""")
+def deploy_identifiers(spark, sf):
+    return deploy.all_facts(_deployed(spark, sf))[0]
+
+
+@query(f"SELECT {_REPO}, 'team-' || s_nationkey AS owners FROM supplier")
+def deploy_owners(spark, sf):
+    return deploy.all_facts(_deployed(spark, sf))[3].select("repo", F.array_join("owners", ",").alias("owners"))

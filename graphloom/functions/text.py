@@ -15,6 +15,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
 
 
+def once(value: Column, f) -> Column:
+    """f(value) with ``value`` evaluated once, however often f names it: long expressions don't multiply in generated code."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def full(c: Column, pattern: str) -> Column:
     return c.rlike(rf"\A(?:{pattern})\z")
 

@@ -138,16 +138,14 @@ def claims(files: DataFrame) -> DataFrame:
 
 def usable(value: Column, stoplist: Sequence[str]) -> Column:
     """The stripped name, or null where it is too short or says nothing."""
-    name = T.strip(value)
-    return F.when((F.char_length(name) >= 2) & ~F.lower(name).isin(*stoplist), name)
+    return T.once(T.strip(value), lambda name: F.when((F.char_length(name) >= 2) & ~F.lower(name).isin(*stoplist), name))
 
 
 def exposed(found: DataFrame, stoplist: Sequence[str] = C.GENERIC_IDENTIFIERS) -> DataFrame:
     """(repo, kind, key, detail, evidence, path, nth) of services, ingress hosts and servers with a host of their own."""
-    host = T.service_host(F.col("value"))
     absolute = F.lower(T.strip(F.col("value"))).rlike(r"^[a-z][a-z0-9+.\-]*://")
-    own = absolute & (host != "") & ~host.contains("{") & ~T.under(host, C.NOISE_HOSTS)
-    key = usable(F.when(F.col("role") == "expose", F.col("value")).when((F.col("role") == "server") & own, host), stoplist)
+    host = T.once(T.service_host(F.col("value")), lambda h: F.when((h != "") & ~h.contains("{") & ~T.under(h, C.NOISE_HOSTS), h))
+    key = usable(F.when(F.col("role") == "expose", F.col("value")).when((F.col("role") == "server") & absolute, host), stoplist)
     return found.select("repo", "kind", key.alias("key"), "detail", F.col("path").alias("evidence"), "path", "nth").filter("key is not null")
 
 

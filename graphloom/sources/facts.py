@@ -122,8 +122,8 @@ def own_variables(files: DataFrame, names: DataFrame, stoplist: Sequence[str] =
     declared = _part(r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=")
     lines = _lines(files.filter(_base().isin(*ENV_FILES)))
     rows = lines.select("repo", declared.alias("name"), F.lit("env example file").alias("detail"), F.concat("path", F.lit(":"), "n").alias("evidence"))
-    rows = (rows if more is None else rows.unionByName(more)).withColumn("key", T.env_name(F.col("name")))
+    rows = (rows if more is None else rows.unionByName(more)).withColumn("key", T.once(F.col("name"), T.env_name))
     rows = rows.filter((F.col("key") != "") & ~T.env_generic(F.col("key"), stoplist))
-    asked = rows.select("repo", "key", "detail", "evidence", F.explode(T.env_forms(F.col("key"))).alias("form"))
+    asked = rows.select("repo", "key", "detail", "evidence", F.explode(T.once(F.col("key"), T.env_forms)).alias("form"))
     own = asked.join(forms, ["repo", "form"], "left_semi")
     return first_per_key(own.select("repo", F.lit("envvar").alias("kind"), "key", "detail", "evidence"))
