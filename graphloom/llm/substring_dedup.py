@@ -1,20 +1,21 @@
 """Substring dedup by compact windows.
 
-Each word shingle of a document has a min-hash value under each of a few hash
-functions. A compact window (l, c, r) says that every run of shingles that lies
-in [l, r] and holds c has its minimum at c, so one row stands for all those
-runs. Windows are the nodes of the Cartesian tree of the values; only those that
-hold a run of WINDOW shingles count, which leaves about 2 / (WINDOW + 1) of a
-document's positions. Windows of different documents that share a minimum are
-candidates: their intervals are joined along the alignment of the two minima,
-merged for each pair and alignment, and verified on the words.
-
-Windows that share a minimum are never all paired with each other: each is paired
-with the first that has the same words after it, and the first of such a group
-with the first of all. So a passage that thousands share costs thousands of rows.
-Where three windows or more share a minimum, their firsts may hold another passage
-than the rest: there each run of WORDS words around the minimum is looked up as a
-whole too, and paired with the first document that holds the same run.
+Each word shingle of a document has a min-hash value. A compact window (l, c, r)
+says that every run of shingles that lies in [l, r] and holds c has its minimum
+at c, so one row stands for all those runs. Windows are the nodes of the
+Cartesian tree of the values; only those that hold a run of SEED shingles count,
+which leaves about 2 / (SEED + 1) of a document's positions. Of WORDS words that
+match at most one, inside, is changed, added or left out, so one side of it is a
+run of SEED equal shingles or more, and both documents have a window at its
+minimum: windows leave out no match, whatever the hash function.
+
+Of a run of SEED shingles, half lies to the left or to the right of its minimum:
+windows meet by the hash of either half. Of those that meet, windows with the
+same words as far around as a match may reach are copies, and each is paired with
+the first of them only. The firsts of different words are all compared with each
+other, in blocks of bounded size; a window is paired with those that cover most
+to its left and right, and with one of each group that it connects. So a passage
+that thousands share costs rows in proportion, and none that matches is left out.
 """
 
 from __future__ import annotations
@@ -27,18 +28,26 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .bloom import bloom_filter, may_hold
+from .jaccard_join import _groups
 from .scratch import materialize, unused
-from .textops import U64, mix, word_slices
+from .textops import U64, _power_tables, mix, word_slices
 from .worker import tidy
 
-SHINGLE, WORDS, HASHES = 5, 50, 3
-#: Similarity of each WORDS words of a passage, and the least over all of it.
+SHINGLE, WORDS = 5, 50
+#: Similarity of each WORDS words of a passage, and the least over all of one that is aligned word for word, or of others.
 NUM, DEN = 80, 100
-FLOOR_NUM = 60
+LEAST_NUM, FLOOR_NUM = 75, 60
+#: Shingles of WORDS words, those that two such runs share, and the least unbroken run of them.
+WIDTH = WORDS - SHINGLE + 1
+NEED = -(-2 * NUM * WIDTH // (NUM + DEN))
+SEED = (NEED + 1) // 2
+#: Windows that are compared in one task, each with each; larger groups are dealt into blocks, of which each two meet.
+GROUP = 4096
 #: Words of pairs that are compared at once.
 VERIFY_WORDS = 1 << 19
 _PAIR = ["a", "b", "diag", "lo", "hi"]
 _PLACE = U64((1 << 22) - 1)
+_MULTIPLIERS = np.array([mix(np.array([i + 101], U64))[0] | U64(1) for i in range(64)])
 _SEEDS = [mix(np.array([i + 1], U64))[0] for i in range(16)]
 
 
@@ -82,47 +91,74 @@ def compact_windows(value: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.
     return left, chosen, right
 
 
-def _keys(value: np.ndarray, f: int) -> np.ndarray:
-    """Keys of minima under hash function ``f``; the lowest bit tells the first function."""
-    return (mix(value + U64(f)) & ~U64(1) | U64(f == 0)).view(np.int64)
+def _run_codes(h: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of ``size`` shingles."""
+    code, n = h, 1
+    while n < size:
+        step = min(n, size - n)
+        code, n = mix(code[: len(code) - step] * U64(0x9E3779B97F4A7C15) + code[step:]), n + step
+    return code
+
+
+def _thinned(h: np.ndarray, doc: np.ndarray, l: np.ndarray, c: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows without those at each place of a stretch of one shingle: its first, its last, and some between stand for them."""
+    n, half = len(h), SEED // 2
+    begin = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])
+    number, starts = np.cumsum(begin) - 1, np.flatnonzero(begin)
+    first = starts[number[c]]
+    last = np.append(starts[1:], n)[number[c]] - 1
+    moved = (last - first >= half) & ((c - first) % (WIDTH // 2) != 0)
+    if not moved.any():
+        return l, c, r
+    one = np.flatnonzero(moved)[np.unique(last[moved], return_index=True)[1]]
+    keep = ~moved & ~np.isin(c, last[one])
+    return tuple(np.concatenate(x) for x in ((l[keep], first[one]), (c[keep], last[one]), (r[keep], np.maximum(r[one], last[one]))))
 
 
 @tidy
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    width = WORDS - SHINGLE + 1
+    """(key, context, doc_id, c, l, r, right): [l, r] is as far as a match that holds c may reach; equal contexts, equal words there.
+
+    ``right`` is 1 for keys of left halves whose right half is a key, too.
+    """
+    half = SEED // 2
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for a, b, words in word_slices(batch.column(1)):
             h, doc = words.shingles(SHINGLE)
             count = np.bincount(doc, minlength=words.n_docs)
-            keep = count[doc] >= width
+            keep = count[doc] >= WIDTH
             h, doc = h[keep], doc[keep]
             if not len(h):
                 continue
-            ends = np.cumsum(np.where(count >= width, count, 0))
-            first = ends - np.where(count >= width, count, 0)
-            place, out = (np.arange(len(h)) - first[doc]).astype(U64), []
-            for f in range(HASHES):
-                value = mix(h ^ _SEEDS[f])
-                # Of equal shingles in a run the first counts: low bits are the place.
-                l, c, r = compact_windows((value & ~_PLACE) | (place & _PLACE) | U64(1 << 22), doc, width)
-                at = first[doc[c]]
-                after = np.minimum(c + SHINGLE - 1, ends[doc[c]] - 1)
-                context = mix(h[c] + mix(h[after]))
-                out.append((_keys(value[c], f), context.view(np.int64), ids[a + doc[c]], c - at, l - at, r - at))
-            key, context, who, c, l, r = (np.concatenate(x) for x in zip(*out))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(context), pa.array(who.astype(np.int64)), *(pa.array(x.astype(np.int32)) for x in (c, l, r))],
-                ["key", "context", "doc_id", "c", "l", "r"],
-            )
+            ends = np.cumsum(np.where(count >= WIDTH, count, 0))
+            first = ends - np.where(count >= WIDTH, count, 0)
+            place = (np.arange(len(h)) - first[doc]).astype(U64)
+            value = mix(h ^ _SEEDS[0])
+            # Of equal shingles in a run the first counts: low bits are the place.
+            l, c, r = compact_windows((value & ~_PLACE) | (place & _PLACE) | U64(1 << 22), doc, SEED)
+            l, c, r = _thinned(h, doc, l, c, r)
+            at = first[doc[c]]
+            start, stop = np.maximum(c - WIDTH + 1, at), np.minimum(c + WIDTH, ends[doc[c]])
+            up, down = _power_tables(len(h))
+            total = np.concatenate([np.zeros(1, U64), np.cumsum(h * up[: len(h)])])
+            context = mix((total[stop] - total[start]) * down[start] + mix(((stop - start) * 256 + c - start).astype(U64)))
+            code = _run_codes(h, half + 1)
+            right, left = np.flatnonzero(c + half <= r), np.flatnonzero(c - half >= l)
+            key = np.concatenate([code[c[right]], mix(code[c[left] - half])]) | U64(1)
+            w = np.concatenate([right, left])
+            cols = (key.view(np.int64), context[w].view(np.int64), ids[a + doc[c[w]]].astype(np.int64), *(x[w].astype(np.int32) for x in (c - at, start - at, stop - at - 1)))
+            twice = np.concatenate([np.zeros(len(right), bool), c[left] + half <= r[left]]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*cols, twice)], ["key", "context", "doc_id", "c", "l", "r", "right"])
 
 
 @tidy
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Streams windows in order of (key, context, doc_id, c); holds three of them between batches.
 
-    Keys of the first hash function whose windows are not all compared by these
-    pairs are rows of their own: the key as a, and no b.
+    Pairs are of the first of a context with its others, and with the first of the
+    key. Rows without b are the firsts of several contexts of an odd key, and the
+    first of another document in each: (key, none, doc_id, c, the last column).
     """
     held: np.ndarray | None = None  # first of the open key, first of the open context, last
     for batch in batches:
@@ -141,78 +177,197 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = (with_ != index) & (index >= n_held) & (rows[with_, 2] != rows[:, 2])
         x, y = rows[with_[use]], rows[use]
         held = rows[[of_key[-1], of_context[-1], -1]]
-        # Of three windows or more of a key, of two documents or more, some pair isn't compared.
-        doc = rows[:, 2]
-        third = (index - of_key >= 2) & ((doc != doc[of_key]) | (doc != np.roll(doc, 1))) & (rows[:, 0] & 1 == 1)
-        open_ = np.unique(rows[third, 0])
-        if len(open_):
-            none = np.zeros(len(open_), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(open_), pa.nulls(len(open_), pa.int64()), *[pa.array(none)] * 3], _PAIR)
+        # A context's first, where it isn't the key's only one, and its first of another document.
+        doc, fresh = rows[:, 2], index >= n_held
+        more = new_context & ~new_key & fresh
+        other = ~new_context & fresh & (doc != doc[of_context]) & (np.roll(doc, 1) == doc[of_context])
+        some = np.unique(np.concatenate([np.flatnonzero(more | other), of_key[more]]))
+        some = some[rows[some, 0] & 1 == 1]
+        if len(some):
+            cols = (rows[some, 0], rows[some, 2], rows[some, 3], rows[some, -1])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.nulls(len(some), pa.int64()), *map(pa.array, cols[1:])], _PAIR)
         if not len(x):
             continue
         swap = (x[:, 2] > y[:, 2])[:, None]
         x, y = np.where(swap, y, x), np.where(swap, x, y)
         diag = y[:, 3] - x[:, 3]
         lo, hi = np.maximum(x[:, 4], y[:, 4] - diag), np.minimum(x[:, 5], y[:, 5] - diag)
-        # A shared run of WORDS words with this minimum lies in both windows.
-        wide = hi - lo + 1 >= WORDS - SHINGLE + 1
+        # A match that holds this minimum lies in both windows.
+        wide = hi - lo + 1 >= WIDTH
         x, y, diag, lo, hi = x[wide], y[wide], diag[wide], lo[wide], hi[wide]
         yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x[:, 2], y[:, 2], diag, lo, hi)], _PAIR)
 
 
-def _runs(bloom):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each run of WORDS words, by the hash of all its shingles, whose minimum has one of the keys."""
-        width = WORDS - SHINGLE + 1
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, b, words in word_slices(batch.column(1)):
-                h, doc = words.shingles(SHINGLE)
-                count = np.bincount(doc, minlength=words.n_docs)
-                keep = count[doc] >= width
-                h, doc = h[keep], doc[keep]
-                if not len(h):
-                    continue
-                count = np.where(count >= width, count, 0)
-                place = np.arange(len(h)) - (np.cumsum(count) - count)[doc]
-                value = mix(h ^ _SEEDS[0])
-                low = sliding((value & ~_PLACE) | (place.astype(U64) & _PLACE) | U64(1 << 22), width, np.minimum)
-                at = np.flatnonzero(doc[: len(low)] == doc[width - 1 :])
-                # The place of a run's minimum, from the low bits; it lies within width of the run's first.
-                c = at + ((low[at] - place[at].astype(U64)) & _PLACE).astype(np.int64)
-                new = np.concatenate([[True], c[1:] != c[:-1]])
-                at = at[may_hold(bloom.value, _keys(value[c[new]], 0))[np.cumsum(new) - 1]]
-                if not len(at):
-                    continue
-                code, size = h, 1  # of each run of size shingles
-                while size < width:
-                    step = min(size, width - size)
-                    code, size = mix(code[: len(code) - step] * U64(0x9E3779B97F4A7C15) + code[step:]), size + step
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(code[at].view(np.int64)), pa.array(ids[a + doc[at]]), pa.array(place[at].astype(np.int32))], ["run", "doc_id", "place"]
-                )
+def _shared_runs(hit: np.ndarray) -> np.ndarray:
+    """Where runs of WIDTH with NEED hits begin, in each row."""
+    total = np.zeros((len(hit), hit.shape[1] + 1), np.uint8)
+    np.cumsum(hit, axis=1, dtype=np.uint8, out=total[:, 1:])
+    return total[:, WIDTH:] - total[:, :-WIDTH] >= NEED
+
+
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """Number of distinct codes of each row, but for those below 0."""
+    rows = np.sort(rows, axis=1)
+    return np.count_nonzero((rows[:, 1:] != rows[:, :-1]) & (rows[:, 1:] >= 0), axis=1) + (rows[:, 0] >= 0)
+
+
+def _alike(code: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Whether the comparison of words finds a match in each pair of rows of codes (below 0: none)."""
+    out = np.zeros(len(u), bool)
+    place = np.arange(code.shape[1])
+    for i in range(0, len(u), 256):
+        x, y = code[u[i : i + 256]], code[v[i : i + 256]]
+        both = (x >= 0) & (y >= 0)
+        found = _shared_runs((x == y) & both).any(1)
+        far = np.flatnonzero(~found)
+        if len(far):
+            x, y = np.where(both, x, -1)[far], np.where(both, y, -2)[far]
+            same, sides = x[:, :, None] == y[:, None, :], []
+            for side, hit in ((x, same.any(2)), (y, same.any(1))):
+                good = _shared_runs(hit)
+                first, stop = good.argmax(1), good.shape[1] - good[:, ::-1].argmax(1) + WIDTH - 1
+                inside = (place >= first[:, None]) & (place < stop[:, None]) & good.any(1)[:, None]
+                # From first to last hit.
+                hit &= inside
+                inside &= (place >= hit.argmax(1)[:, None]) & (place < (len(place) - hit[:, ::-1].argmax(1))[:, None])
+                sides.append(np.where(inside, side, -1))
+            n, m, every = _distinct(sides[0]), _distinct(sides[1]), _distinct(np.concatenate(sides, 1))
+            found[far] = (n > 0) & (m > 0) & ((n + m - every) * DEN >= every * FLOOR_NUM)
+        out[i : i + 256] = found
+    return out
 
-    return tidy(run)
+
+def _classes(part: np.ndarray) -> np.ndarray:
+    """A hash of each row of shingle codes; rows with a 0 (none) are a class each."""
+    mixed = (part * _MULTIPLIERS[: part.shape[1]]).sum(1) | U64(1 << 32)
+    return np.where((part != 0).all(1), mixed, np.arange(len(part)).astype(U64))
+
+
+def _matches(codes: np.ndarray, doc: np.ndarray, barred: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(u, v) to be paired, of rows of shingle codes (0: none) that have their minimum in the middle, in order of doc.
+
+    Each v with those of lesser documents whose matches reach most to either
+    side, and with one of each group that its matches connect. Rows of one class
+    in an array of ``barred`` (0: none) are not compared. Nor are two of a group where v's
+    pairs reach already as far as any row could.
+    """
+    n, flat = len(codes), codes.ravel()
+    order = np.argsort(flat, kind="stable")
+    new = np.concatenate([[True], flat[order[1:]] != flat[order[:-1]]])
+    code = np.empty(len(flat), np.int32)
+    code[order] = np.cumsum(new) - 1
+    code = np.where(codes == 0, -1, code.reshape(codes.shape))
+    # Codes of two documents or more; rows are in order of doc.
+    begin = np.flatnonzero(new)
+    owner = np.repeat(doc, codes.shape[1])[order]
+    several = np.append((owner[begin] != owner[np.append(begin[1:], len(flat)) - 1]) & (flat[order[begin]] != 0), False)
+    alive = np.flatnonzero(_shared_runs(several[code]).any(1))
+    if len(alive) < n:  # the others match no row
+        return [(int(alive[u]), int(alive[v])) for u, v in _matches(codes[alive], doc[alive], [x[alive] for x in barred])] if len(alive) > 1 else []
+    # An unbroken run of SEED shingles around the middle holds one of these whole.
+    short, mid = SEED - 4, WIDTH - 1
+    runs = [_classes(codes[:, mid - before : mid - before + short]) for before in (*range(0, short - 1, 5), short - 1)]
+    column = np.where(several, np.cumsum(several), 0)
+    width = np.count_nonzero(several) + 1
+
+    def ends(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        good = _shared_runs(hit)
+        return good.argmax(1), np.where(good.any(1), good.shape[1] - good[:, ::-1].argmax(1), 0)
+
+    def holders(rows: slice) -> np.ndarray:
+        """Which codes each of the rows holds."""
+        out = np.zeros((rows.stop - rows.start, width), bool)
+        out[np.arange(len(out))[:, None], column[code[rows]]] = True
+        out[:, 0] = False
+        return out
+
+    whole = holders(slice(0, n)) if n * width <= 64 << 20 else None
+    can_first, can_stop = ends(several[code])
+    best_first, best_stop, group = np.full(n, WIDTH), np.zeros(n, np.int64), np.arange(n)
+    picked: list[tuple[int, int]] = []
+    step = max(1, min(64, (32 << 20) // width))
+    for i in range(0, n, step):
+        chunk = slice(i, min(n, i + step))
+        link = np.zeros((chunk.stop - i, n), bool)
+        for x in runs:
+            link |= x[chunk, None] == x[None]
+        settled = (best_first <= can_first) & (best_stop >= can_stop)
+        link &= (doc[chunk, None] < doc[None]) & ~(settled[None] & (group[chunk, None] == group[None]))
+        for x in barred:
+            link &= (x[chunk, None] != x[None]) | (x[chunk, None] == 0)
+        us, vs = np.nonzero(link)
+        if not len(us):
+            continue
+        holds = whole[chunk] if whole is not None else holders(chunk)
+        parts = [ends(holds[us[k : k + 16384, None], column[code[vs[k : k + 16384]]]]) for k in range(0, len(us), 16384)]
+        first, stop = (np.concatenate(x) for x in zip(*parts))
+        some = stop > 0
+        us, vs, first, stop = us[some] + i, vs[some], first[some], stop[some]
+        if whole is not None and len(us):  # the same the other way round, which spares comparisons
+            some = np.concatenate([ends(whole[vs[k : k + 16384, None], column[code[us[k : k + 16384]]]])[1] for k in range(0, len(us), 16384)]) > 0
+            us, vs, first, stop = us[some], vs[some], first[some], stop[some]
+        known = np.zeros(len(us), np.int8)  # 1: they match, -1: they don't
+
+        def take(at: np.ndarray, once=None) -> np.ndarray:
+            fresh = at[known[at] == 0]
+            known[fresh] = np.where(_alike(code, us[fresh], vs[fresh]), 1, -1)
+            at = at[known[at] == 1]
+            if once is not None:  # one for each two groups
+                at = at[np.unique(once(at), return_index=True)[1]]
+            for k in at.tolist():
+                picked.append((int(us[k]), int(vs[k])))
+                group[group == group[us[k]]] = group[vs[k]]
+            best_first[vs[at]] = np.minimum(best_first[vs[at]], first[at])
+            best_stop[vs[at]] = np.maximum(best_stop[vs[at]], stop[at])
+            return at
+
+        for reach in (first, -stop):
+            order = np.lexsort((us, reach, vs))
+            while len(order := order[(known[order] == 0) & ((first < best_first[vs]) | (stop > best_stop[vs]))[order]]):
+                lead = order[np.concatenate([[True], vs[order[1:]] != vs[order[:-1]]])]
+                done = np.zeros(n, bool)
+                done[vs[take(lead)]] = True
+                order = order[~done[vs[order]]]
+        of_groups = lambda at: np.minimum(group[us[at]], group[vs[at]]) * n + np.maximum(group[us[at]], group[vs[at]])
+        tries = 1
+        while len(at := np.flatnonzero((group[us] != group[vs]) & (known == 0))):
+            which = of_groups(at)
+            order = np.argsort(which, kind="stable")
+            at, which = at[order], which[order]
+            begin = np.concatenate([[True], which[1:] != which[:-1]])
+            take(at[np.arange(len(at)) - np.maximum.accumulate(np.where(begin, np.arange(len(at)), 0)) < tries], of_groups)
+            tries *= 4
+    return picked
 
 
 @tidy
-def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams runs in order of (run, doc_id, place): pairs each with the first document's that holds it."""
-    held: np.ndarray | None = None  # first of the open run
-    for batch in batches:
-        rows = np.stack([x.to_numpy().astype(np.int64) for x in batch.columns], 1)
-        if not len(rows):
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of whole groups, from rows (sub, doc_id, c, right, at, words, block) in order; word ``at`` is the document's word c.
+
+    ``right`` says that the window meets others by its right half too; rows of one
+    block meet elsewhere, but for 0.
+    """
+    out: list[tuple] = []
+    for rows in _groups(batches):
+        doc, c, right, at = (rows.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3, 4))
+        if (doc == doc[0]).all():
             continue
-        if held is not None:
-            rows = np.concatenate([held, rows])
-        new = np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
-        held = rows[first[-1:]]
-        use = rows[:, 1] != rows[first, 1]
-        x, y = rows[first[use]], rows[use]
-        if len(x):
-            cols = (x[:, 1], y[:, 1], y[:, 2] - x[:, 2], x[:, 2], x[:, 2] + WORDS - SHINGLE)
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], _PAIR)
+        x = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.uint32)
+        size = pc.binary_length(rows.column(5)).to_numpy().astype(np.int64) // 4
+        row = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(x)) - (np.cumsum(size) - size)[row]
+        inside = np.flatnonzero(row[: len(x) - SHINGLE + 1] == row[SHINGLE - 1 :])
+        codes = np.zeros((len(size), 2 * WIDTH - 1), U64)
+        codes[row[inside], (WIDTH - 1 - at[row] + place)[inside]] = _shingle_codes(x)[inside]
+        after = size - SHINGLE - at
+        half = _classes(codes[:, WIDTH - 1 : WIDTH + SEED // 2])
+        for u, v in _matches(codes, doc, [np.where(right, half, U64(0)), rows.column(6).to_numpy()]):
+            out.append((doc[u], doc[v], c[v] - c[u], c[u] - min(at[u], at[v]), c[u] + min(after[u], after[v])))
+        if len(out) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], _PAIR)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], _PAIR)
 
 
 def _word_hashes(bloom):
@@ -251,22 +406,29 @@ def _shared(u: np.ndarray, v: np.ndarray, row: np.ndarray) -> tuple[np.ndarray,
     return hit[: len(u)], hit[len(u) :]
 
 
-def _covered(hit: np.ndarray, width: int, need: int) -> list[tuple[int, int]]:
-    """Merged ranges of shingles whose runs of ``width`` hold ``need`` hits, from first to last hit."""
+def _covered(hit: np.ndarray, width: int, need: int, least: int = 0) -> list[tuple[int, int]]:
+    """Merged ranges of shingles whose runs of ``width`` hold ``need`` hits, from first to last hit.
+
+    Ranges of a similarity under ``least`` are cut into ranges of runs that reach it.
+    """
     total = np.concatenate([[0], np.cumsum(hit)])
     good = np.flatnonzero(total[width:] - total[:-width] >= need)
     if not len(good):
         return []
     cut = np.flatnonzero(np.diff(good) > width) + 1
     hits = np.flatnonzero(hit)
-    ranges = ((g[0], g[-1] + width) for g in np.split(good, cut))
+    ranges = []
+    for g in np.split(good, cut):
+        while len(g):
+            held, n = total[g + width] - total[g[0]], g + width - g[0]
+            k = int(np.flatnonzero(held * (DEN + least) >= 2 * least * n)[-1])
+            ranges.append((g[0], g[k] + width))
+            g = g[k + 1 :]
     return [(int(hits[np.searchsorted(hits, p)]), int(hits[np.searchsorted(hits, q) - 1]) + 1) for p, q in ranges]
 
 
 @tidy
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    width = WORDS - SHINGLE + 1
-    need = -(-2 * NUM * width // (NUM + DEN))  # shared shingles of two runs with the similarity
     for batch in batches:
         # Equal words need no comparison.
         equal_words = pc.equal(batch.column(4), batch.column(5))
@@ -280,7 +442,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i = 0
         while i < len(batch):
             j = max(i + 1, int(np.searchsorted(at, at[i] + VERIFY_WORDS, side="right")) - 1)
-            if out := _compare(batch.slice(i, j - i), width, need):
+            if out := _compare(batch.slice(i, j - i), WIDTH, NEED):
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.float64())], list(_FOUND))
             i = j
@@ -303,7 +465,7 @@ def _compare(batch: pa.RecordBatch, width: int, need: int) -> list[tuple]:
     for a, b, diag, lo, p, q in zip(*(batch.column(c).to_pylist() for c in range(4)), (ends - np.maximum(0, size - SHINGLE + 1)).tolist(), ends.tolist()):
         aligned, hit_u, hit_v = same[p:q], in_u[p:q], in_v[p:q]
         done = np.zeros(q - p, bool)
-        for s, t in _covered(aligned, width, need):
+        for s, t in _covered(aligned, width, need, LEAST_NUM):
             held, done[s:t] = int(aligned[s:t].sum()), True
             out.append((b, lo + diag + s, t - s + SHINGLE - 1, a, lo + s, t - s + SHINGLE - 1, held / (2 * (t - s) - held)))
         if np.count_nonzero(hit_v) == np.count_nonzero(aligned):  # no shingle but those of this alignment
@@ -335,10 +497,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     One row for each pair and alignment found: (doc_id, start_word, n_words,
     source_id, source_start_word, source_n_words, similarity), source_id < doc_id.
     Two runs of words match when the Jaccard similarity of their 5-word shingles
-    is 0.8 or more over each WORDS words. Each document that holds a passage is
-    paired with a document of lower id that holds it; not with all of them. All
-    passages that are equal word for word are found; near copies are found when
-    their windows meet.
+    is 0.8 or more over each WORDS words. Rows don't list each pair that matches:
+    what a document shares with documents of lower id is covered by its rows, and
+    passages that match are connected by rows, directly or through others.
     Texts of fewer words, null texts and null doc_ids take no part; repeats
     within one document don't count. Of rows that share a doc_id the least text
     stands for it. Other columns are ignored; an empty table gives an empty result.
@@ -347,21 +508,32 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     shared = materialize(least_texts(docs), "passage-least-texts")
     if not shared.isEmpty():
         base = base.join(shared.select("doc_id"), "doc_id", "left_anti").unionByName(shared)
-    windows = base.mapInArrow(_windows, "key long, context long, doc_id long, c int, l int, r int")
+    windows = base.mapInArrow(_windows, "key long, context long, doc_id long, c int, l int, r int, right int")
     context = docs.sparkSession.sparkContext
+    pair = "a long, b long, diag long, lo long, hi long"
 
-    def of_pairs(rows):
-        return rows.groupBy("a", "b", "diag").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    def of_pairs(rows, *more):
+        return rows.groupBy("a", "b", "diag", *more).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
-    pair = "a long, b long, diag long, lo long, hi long"
     stars = windows.repartition("key").sortWithinPartitions("key", "context", "doc_id", "c").mapInArrow(_stars, pair)
-    met = materialize(of_pairs(stars), "passage-windows")
-    unsettled = context.broadcast(bloom_filter(met.filter("b is null").select("a")))
-    runs = base.mapInArrow(_runs(unsettled), "run long, doc_id long, place int")
-    same = runs.repartition("run").sortWithinPartitions("run", "doc_id", "place").mapInArrow(_holders, pair)
-    pairs = materialize(of_pairs(met.filter("b is not null").unionByName(same)), "passage-pairs")
-    bloom = context.broadcast(bloom_filter(pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))))
+    met = of_pairs(stars, F.when(F.col("b").isNull(), F.col("lo")).alias("c"))
+    met = materialize(met.select(*_PAIR), "passage-windows")
+    apart, copies = met.filter("b is null").select(F.col("a").alias("key"), F.col("diag").alias("doc_id"), F.col("lo").alias("c"), F.col("hi").alias("right")), met.filter("b is not null")
+    # Of two windows of a key the pair is there already; more are compared each with each.
+    groups = apart.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("x"), F.max("doc_id").alias("y"))
+    apart = materialize(apart.join(groups.filter("rows > 2 and x < y").select("key", "rows"), "key"), "passage-firsts")
+    ids = copies.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(apart.select("doc_id"))
+    bloom = context.broadcast(bloom_filter(ids))
     words = materialize(base.mapInArrow(_word_hashes(bloom), "doc_id long, words binary").dropDuplicates(["doc_id"]), "passage-words")
+    blocks = F.when(F.col("rows") > GROUP, F.ceil(F.col("rows") / (GROUP // 2))).otherwise(1).cast("int")
+    block = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(x, block).alias("x"), F.greatest(x, block).alias("y")))
+    start = F.greatest(F.col("c") - (WIDTH - 1), F.lit(0))
+    around = F.substring("words", (start * 4 + 1).cast("int"), ((F.col("c") - start + WIDTH - 1 + SHINGLE) * 4).cast("int"))
+    around = apart.join(words, "doc_id").select("key", "rows", "doc_id", "c", "right", (F.col("c") - start).alias("at"), around.alias("words"))
+    around = around.withColumn("meets", F.explode(meets)).select(F.xxhash64("key", "meets").alias("sub"), "doc_id", "c", "right", "at", "words", F.when(F.col("meets.x") == F.col("meets.y"), 0).otherwise(block + 1).alias("block"))
+    near = around.repartition("sub").sortWithinPartitions("sub", "doc_id", "c").mapInArrow(_near, pair)
+    pairs = materialize(of_pairs(copies.unionByName(near)), "passage-pairs")
 
     def part(start, end):
         return F.substring("words", (start * 4 + 1).cast("int"), ((end - start + SHINGLE) * 4).cast("int"))

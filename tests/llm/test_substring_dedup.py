@@ -161,3 +161,42 @@ def test_columns_of_any_name_and_repeated_ids(spark):
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(
         [(1, passage + " a b c"), (2, "z  tail end"), (2, "zz other text " * 3), (3, None), (None, passage)], key=str
     )
+
+
+def _shingled(words):
+    return [tuple(words[i : i + S.SHINGLE]) for i in range(len(words) - S.SHINGLE + 1)]
+
+
+@pytest.mark.parametrize("group", [1024, 8])
+def test_near_copies_of_frequent_phrases_against_brute_force(make, monkeypatch, group):
+    monkeypatch.setattr(S, "GROUP", group, raising=False)  # a small one: groups are dealt into blocks
+    rng = random.Random(31)
+    phrases, texts = [words(rng, 38) for _ in range(3)], []
+    for p in range(3):  # the phrase alone comes first, in several texts
+        texts += [words(rng, 30) + phrases[p] + words(rng, 30) for _ in range(5)]
+    for p in range(12):  # then near copies around it: words changed, added, left out
+        passage = words(rng, 8) + phrases[p % 3] + words(rng, 8)
+        for k in range(4):
+            mine, at = list(passage), rng.choice([2, 5, 7, 26, 27, 46, 48, 51])
+            mine[at : at + (k != 1)] = [[mine[at]], ["added"], ["other"], []][k]
+            texts.append(words(rng, rng.randrange(30)) + mine + words(rng, rng.randrange(30)))
+    halves = words(rng, 30), words(rng, 30)
+    texts += [halves[0] + halves[1], words(rng, 9) + halves[1] + halves[0]]
+    found = S.repeated_passages(make([(i, " ".join(t)) for i, t in enumerate(texts)])).collect()
+    covered, group_of = {}, list(range(len(texts)))
+    for r in found:
+        covered.setdefault(r.doc_id, set()).update(range(r.start_word, r.start_word + r.n_words))
+        old, new = group_of[r.doc_id], group_of[r.source_id]
+        group_of = [new if g == old else g for g in group_of]
+    runs = [[set(_shingled(t[s : s + S.WORDS])) for s in range(len(t) - S.WORDS + 1)] for t in texts]
+    matches, missed = 0, []
+    for b in range(len(texts)):
+        for a in range(b):
+            for s, y in enumerate(runs[b]):
+                if any(100 * len(x & y) >= S.NUM * len(x | y) for x in runs[a]):
+                    matches += 1
+                    # First and last shingles that are not shared are no part of the passage.
+                    inner = range(s + S.SHINGLE, s + S.WORDS - S.SHINGLE)
+                    if group_of[a] != group_of[b] or not covered.get(b, set()).issuperset(inner):
+                        missed.append((a, b, s))
+    assert matches > 400 and missed == []
