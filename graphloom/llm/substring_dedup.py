@@ -14,7 +14,8 @@ windows meet by the hash of either half. Of those that meet, windows with the
 same words as far around as a match may reach are copies, and each is paired with
 the first of them only. The firsts of different words are all compared with each
 other, in blocks of bounded size; a window is paired with those that cover most
-to its left and right, and with one of each group that it connects. So a passage
+to its left and right, and with one of each group that it connects. Windows at each
+place of a line repeated on and on share what their pairs cover. So a passage
 that thousands share costs rows in proportion, and none that matches is left out.
 """
 
@@ -42,7 +43,7 @@ WIDTH = WORDS - SHINGLE + 1
 NEED = -(-2 * NUM * WIDTH // (NUM + DEN))
 SEED = (NEED + 1) // 2
 #: Windows that are compared in one task, each with each; larger groups are dealt into blocks, of which each two meet.
-GROUP = 4096
+GROUP = 16384
 #: Words of pairs that are compared at once.
 VERIFY_WORDS = 1 << 19
 _PAIR = ["a", "b", "diag", "lo", "hi"]
@@ -156,7 +157,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Streams windows in order of (key, context, doc_id, c); holds three of them between batches.
 
-    Pairs are of the first of a context with its others, and with the first of the
+    Pairs are of the first of a context with its others, but for those that lie
+    between others of a document which cover the same, and with the first of the
     key. Rows without b are the firsts of several contexts of an odd key, and the
     first of another document in each: (key, none, doc_id, c, the last column).
     """
@@ -174,7 +176,10 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_key = np.maximum.accumulate(np.where(new_key, index, 0))
         of_context = np.maximum.accumulate(np.where(new_context, index, 0))
         with_ = np.where(new_context, of_key, of_context)
-        use = (with_ != index) & (index >= n_held) & (rows[with_, 2] != rows[:, 2])
+        # Copies between two others of their document and of WIDTH places: what these cover holds all that they would.
+        span = rows[:, 3] // WIDTH
+        follows = ~new_context & (np.roll(rows[:, 2], 1) == rows[:, 2]) & (np.roll(span, 1) == span)
+        use = (with_ != index) & (index >= n_held) & (rows[with_, 2] != rows[:, 2]) & ~(follows & np.append(follows[1:], False))
         x, y = rows[with_[use]], rows[use]
         held = rows[[of_key[-1], of_context[-1], -1]]
         # A context's first, where it isn't the key's only one, and its first of another document.
@@ -243,13 +248,21 @@ def _classes(part: np.ndarray) -> np.ndarray:
     return np.where((part != 0).all(1), mixed, np.arange(len(part)).astype(U64))
 
 
-def _matches(codes: np.ndarray, doc: np.ndarray, barred: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(u, v) to be paired, of rows of shingle codes (0: none) that have their minimum in the middle, in order of doc.
+def _chains(doc: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The first row of each row's chain: rows of one key and document, in order, whose keys' shingles overlap or touch."""
+    begin = np.concatenate([[True], (doc[1:] != doc[:-1]) | (c[1:] - c[:-1] > SEED // 2 + 1)])
+    return np.maximum.accumulate(np.where(begin, np.arange(len(doc)), 0))
+
+
+def _matches(codes: np.ndarray, doc: np.ndarray, c: np.ndarray, barred: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(u, v) to be paired, of rows of shingle codes (0: none) that have their minimum, at c, in the middle, in order of doc and c.
 
     Each v with those of lesser documents whose matches reach most to either
     side, and with one of each group that its matches connect. Rows of one class
     in an array of ``barred`` (0: none) are not compared. Nor are two of a group where v's
-    pairs reach already as far as any row could.
+    pairs reach already as far as any row could. A line repeated on and on has a row
+    at each of its places: such a chain is one member of a group, and what a pair of one
+    of its rows covers word for word around another counts as this one's reach.
     """
     n, flat = len(codes), codes.ravel()
     order = np.argsort(flat, kind="stable")
@@ -263,7 +276,7 @@ def _matches(codes: np.ndarray, doc: np.ndarray, barred: list[np.ndarray]) -> li
     several = np.append((owner[begin] != owner[np.append(begin[1:], len(flat)) - 1]) & (flat[order[begin]] != 0), False)
     alive = np.flatnonzero(_shared_runs(several[code]).any(1))
     if len(alive) < n:  # the others match no row
-        return [(int(alive[u]), int(alive[v])) for u, v in _matches(codes[alive], doc[alive], [x[alive] for x in barred])] if len(alive) > 1 else []
+        return [(int(alive[u]), int(alive[v])) for u, v in _matches(codes[alive], doc[alive], c[alive], [x[alive] for x in barred])] if len(alive) > 1 else []
     # An unbroken run of SEED shingles around the middle holds one of these whole.
     short, mid = SEED - 4, WIDTH - 1
     runs = [_classes(codes[:, mid - before : mid - before + short]) for before in (*range(0, short - 1, 5), short - 1)]
@@ -282,8 +295,8 @@ def _matches(codes: np.ndarray, doc: np.ndarray, barred: list[np.ndarray]) -> li
         return out
 
     whole = holders(slice(0, n)) if n * width <= 64 << 20 else None
-    can_first, can_stop = ends(several[code])
-    best_first, best_stop, group = np.full(n, WIDTH), np.zeros(n, np.int64), np.arange(n)
+    best_first, best_stop, chain = np.full(n, WIDTH), np.zeros(n, np.int64), _chains(doc, c)
+    group, chain_ends = chain.copy(), np.searchsorted(chain, chain, side="right")
     picked: list[tuple[int, int]] = []
     step = max(1, min(64, (32 << 20) // width))
     for i in range(0, n, step):
@@ -291,14 +304,17 @@ def _matches(codes: np.ndarray, doc: np.ndarray, barred: list[np.ndarray]) -> li
         link = np.zeros((chunk.stop - i, n), bool)
         for x in runs:
             link |= x[chunk, None] == x[None]
-        settled = (best_first <= can_first) & (best_stop >= can_stop)
+        # As far as a row that held all codes of these would reach.
+        holds = whole[chunk] if whole is not None else holders(chunk)
+        can_first, can_stop = ends(holds.any(0)[column[code[i:]]])
+        settled = np.concatenate([np.ones(i, bool), (best_first[i:] <= can_first) & (best_stop[i:] >= can_stop)])
+        link[:, i:] &= can_stop > 0
         link &= (doc[chunk, None] < doc[None]) & ~(settled[None] & (group[chunk, None] == group[None]))
         for x in barred:
             link &= (x[chunk, None] != x[None]) | (x[chunk, None] == 0)
         us, vs = np.nonzero(link)
         if not len(us):
             continue
-        holds = whole[chunk] if whole is not None else holders(chunk)
         parts = [ends(holds[us[k : k + 16384, None], column[code[vs[k : k + 16384]]]]) for k in range(0, len(us), 16384)]
         first, stop = (np.concatenate(x) for x in zip(*parts))
         some = stop > 0
@@ -306,9 +322,13 @@ def _matches(codes: np.ndarray, doc: np.ndarray, barred: list[np.ndarray]) -> li
         if whole is not None and len(us):  # the same the other way round, which spares comparisons
             some = np.concatenate([ends(whole[vs[k : k + 16384, None], column[code[us[k : k + 16384]]]])[1] for k in range(0, len(us), 16384)]) > 0
             us, vs, first, stop = us[some], vs[some], first[some], stop[some]
+        if not len(us):
+            continue
+        parts = [ends((code[us[k : k + 16384]] == (of_v := code[vs[k : k + 16384]])) & (of_v >= 0)) for k in range(0, len(us), 16384)]
+        aligned_first, aligned_stop = (np.concatenate(x) for x in zip(*parts))
         known = np.zeros(len(us), np.int8)  # 1: they match, -1: they don't
 
-        def take(at: np.ndarray, once=None) -> np.ndarray:
+        def take(at: np.ndarray, once=None) -> None:
             fresh = at[known[at] == 0]
             known[fresh] = np.where(_alike(code, us[fresh], vs[fresh]), 1, -1)
             at = at[known[at] == 1]
@@ -317,17 +337,23 @@ def _matches(codes: np.ndarray, doc: np.ndarray, barred: list[np.ndarray]) -> li
             for k in at.tolist():
                 picked.append((int(us[k]), int(vs[k])))
                 group[group == group[us[k]]] = group[vs[k]]
-            best_first[vs[at]] = np.minimum(best_first[vs[at]], first[at])
-            best_stop[vs[at]] = np.maximum(best_stop[vs[at]], stop[at])
-            return at
-
-        for reach in (first, -stop):
-            order = np.lexsort((us, reach, vs))
-            while len(order := order[(known[order] == 0) & ((first < best_first[vs]) | (stop > best_stop[vs]))[order]]):
-                lead = order[np.concatenate([[True], vs[order[1:]] != vs[order[:-1]]])]
-                done = np.zeros(n, bool)
-                done[vs[take(lead)]] = True
-                order = order[~done[vs[order]]]
+            np.minimum.at(best_first, vs[at], first[at])
+            np.maximum.at(best_stop, vs[at], stop[at])
+            at = at[aligned_stop[at] > 0]
+            # As reach of each row of the chain whose minimum is covered, counted from that row.
+            rows = chain_ends[vs[at]] - chain[vs[at]]
+            of, k = np.repeat(np.arange(len(at)), rows), np.arange(rows.sum())
+            row = chain[vs[at]][of] + k - (np.cumsum(rows) - rows)[of]
+            moved = c[vs[at]][of] - c[row]
+            begin, end = aligned_first[at][of] + moved, aligned_stop[at][of] + moved
+            held = (begin < WIDTH) & (end > 0)
+            np.minimum.at(best_first, row[held], np.maximum(begin[held], 0))
+            np.maximum.at(best_stop, row[held], np.minimum(end[held], WIDTH))
+
+        for reach, further in ((first + c[vs], lambda: first < best_first[vs]), (-stop - c[vs], lambda: stop > best_stop[vs])):  # noqa: B023
+            order = np.lexsort((us, aligned_first - aligned_stop, reach, chain[vs]))
+            while len(order := order[(known[order] == 0) & further()[order]]):
+                take(order[np.concatenate([[True], chain[vs[order[1:]]] != chain[vs[order[:-1]]]])])
         of_groups = lambda at: np.minimum(group[us[at]], group[vs[at]]) * n + np.maximum(group[us[at]], group[vs[at]])
         tries = 1
         while len(at := np.flatnonzero((group[us] != group[vs]) & (known == 0))):
@@ -361,7 +387,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes[row[inside], (WIDTH - 1 - at[row] + place)[inside]] = _shingle_codes(x)[inside]
         after = size - SHINGLE - at
         half = _classes(codes[:, WIDTH - 1 : WIDTH + SEED // 2])
-        for u, v in _matches(codes, doc, [np.where(right, half, U64(0)), rows.column(6).to_numpy()]):
+        for u, v in _matches(codes, doc, c, [np.where(right, half, U64(0)), rows.column(6).to_numpy()]):
             out.append((doc[u], doc[v], c[v] - c[u], c[u] - min(at[u], at[v]), c[u] + min(after[u], after[v])))
         if len(out) > 10_000:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], _PAIR)

@@ -200,3 +200,34 @@ def test_near_copies_of_frequent_phrases_against_brute_force(make, monkeypatch,
                     if group_of[a] != group_of[b] or not covered.get(b, set()).issuperset(inner):
                         missed.append((a, b, s))
     assert matches > 400 and missed == []
+
+
+@pytest.mark.parametrize("group", [1 << 14, 64])
+def test_a_line_repeated_on_and_on_is_covered_and_connected(make, monkeypatch, group):
+    monkeypatch.setattr(S, "GROUP", group)
+    rng = random.Random(17)
+    rows = []
+    for i in range(60):  # stretches of 50 to 118 words between others, some with a word changed inside
+        line = ["is", "one."] * rng.randrange(25, 60)
+        if i % 5 == 4:
+            line[rng.randrange(22, len(line) - 22)] = "changed"
+        rows.append((i, " ".join(words(rng, rng.randrange(20, 60)) + line + words(rng, rng.randrange(20, 60)))))
+    found = S.repeated_passages(make(rows)).collect()
+    assert _left(rows, found) == []
+    group_of = list(range(60))
+    for r in found:
+        old, new = group_of[r.doc_id], group_of[r.source_id]
+        group_of = [new if g == old else g for g in group_of]
+    assert len(set(group_of)) == 1
+
+
+def test_copies_between_copies_of_one_document_are_left_out_and_stay_covered():
+    places = [*range(100, 700, 2), 900, 1000, 1003]
+    rows = [(9, 1, 1, 200, 155, 245)] + [(9, 1, 2, c, c - 45, c + 45) for c in places]
+    types = [pa.int64()] * 3 + [pa.int32()] * 3
+    for size in (len(rows), 100, 7):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + size]), types)], list("kxdclr")) for i in range(0, len(rows), size)]
+        got = [r for b in S._stars(iter(batches)) for r in b.to_pylist() if r["b"] is not None]
+        covered = {x for r in got for x in range(r["lo"] + r["diag"], r["hi"] + r["diag"] + 1)}
+        assert covered == {x for c in places for x in range(c - 45, c + 46)}
+        assert size < 100 or len(got) <= 36
