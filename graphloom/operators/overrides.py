@@ -42,11 +42,13 @@ def external_id(host: Column, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.join(owners, host == F.col("node_host"), "left").withColumn("external", F.coalesce("node_id", host)).select(*rows.columns, "external")
 
 
-def generic_groups(generic: DataFrame, groups: DataFrame) -> DataFrame:
-    """(group, label, tag, repos) of explicit groups that more than one repository uses; the tag is the group's, else its first row's."""
-    used = generic.filter("group is not null").groupBy("group").agg(
-        F.array_sort(F.collect_set("repo")).alias("repos"), F.min_by("tag", F.struct("repo", "kind", "key")).alias("first_tag")
-    )
+def generic_groups(generic: DataFrame, groups: DataFrame, place: str | None = None) -> DataFrame:
+    """(group, label, tag, repos) of explicit groups that more than one repository uses; the tag is the group's, else its first row's.
+
+    place is the column of the rows' order, which decides between rows of one (repo, kind, key); without it the least tag does.
+    """
+    first = F.when(F.col("tag").isNotNull(), F.struct("repo", "kind", "key", place or "tag"))
+    used = generic.filter("group is not null").groupBy("group").agg(F.array_sort(F.collect_set("repo")).alias("repos"), F.min_by("tag", first).alias("first_tag"))
     out = used.filter(F.size("repos") > 1).join(groups, "group", "left")
     return out.select("group", F.coalesce(F.nullif("label", F.lit("")), "group").alias("label"), F.coalesce(F.nullif("tag", F.lit("")), "first_tag").alias("tag"), "repos")
 

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import bindings
 from graphloom.functions import text as T
 from graphloom.operators import overrides as O
 from graphloom.operators import tools
@@ -69,6 +70,17 @@ def test_overrides_and_what_is_stale(spark):
     assert [r.key for r in O.stale(consumes, targets).collect()] == ["gone"]
 
 
+def test_the_first_of_rows_with_one_key_gives_a_group_its_tag(spark, tmp_path):
+    rows = [(k, "BRAND", f"n{k // 4}", 9, t) for k, t in ((0, "B"), (1, "X"))] + [(k, "BRAND", "n0", 9, t) for k, t in ((8, "C"), (4, "A"))]
+    part = spark.createDataFrame(rows, "p_partkey long, p_brand string, p_name string, p_size long, p_type string")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    got = bindings.generic_groups(spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [("g0", "g0", "B", "r0,r1")]
+    generic = spark.createDataFrame([("g", "a", "k", "x", 2, "A"), ("g", "a", "k", "x", 1, "B"), ("g", "b", "k", "x", 0, "C"), ("g", "a", "k", "x", 0, None)], "`group` string, repo string, kind string, key string, n int, tag string")
+    none = spark.createDataFrame([], "`group` string, label string, tag string")
+    assert O.generic_groups(generic, none, "n").first().tag == "B" and O.generic_groups(generic, none).first().tag == "A"
+
+
 def test_suggestions(spark):
     lost = spark.createDataFrame([("a", "http", "Orders", "f", ["x"]), ("a", "grpc", "orders ", "g", []), ("b", "http", "orders", "h", ["y"])], "repo string, kind string, key string, evidence string, candidates array<string>")
     targets = O.unresolved_targets(lost)
