@@ -2,8 +2,9 @@
 
 ``providers`` are (family, form, repo, rank). A consumer has an array of lookups
 (family, form, rank) in order; the first lookup that another repository answers
-decides. Everything is one equi-join on (family, form) and one window over a
-consumer's hits, so the plan is the same for ten rows and for ten billion.
+decides. Everything is equi-joins on (family, form) with each form's providers
+counted first, so the plan is the same for ten rows and for ten billion; hits
+are listed only where a result holds them.
 """
 
 from __future__ import annotations
@@ -93,40 +94,95 @@ def package_lookups(ecosystem: Column, name: Column, inferred: Column) -> Column
     return F.array(first, F.struct(F.lit("pkg").alias("family"), n.alias("form"), F.lit(1).alias("rank")))
 
 
-def tiered_link(consumes: DataFrame, providers: DataFrame, stoplist: Sequence[str] = C.GENERIC_IDENTIFIERS, cap: int = 3) -> DataFrame:
-    """One row a consumer: consumes' columns, hits (sorted repositories), tier, bucket.
+def _claims(providers: DataFrame) -> DataFrame:
+    """(family, form, provider, given), once each: the providers that can answer."""
+    claims = providers.filter(F.col("repo").isNotNull()).groupBy("family", "form", F.col("repo").alias("provider"))
+    return claims.agg(F.max("rank").alias("given"))
 
-    consumes (consume_id, repo, kind, key, lookups, external). Hits of the consumer's
-    own repository don't count. bucket is internal, external or unknown; match is
-    the tier, or ambiguous for several hits that aren't fan-in.
+
+def decide(consumes: DataFrame, providers: DataFrame, stoplist: Sequence[str] = C.GENERIC_IDENTIFIERS, cap: int = 3) -> DataFrame:
+    """One row a consumer: consumes' columns without lookups, n_hits, bucket, match, and ask and odd, by which its hits are found.
+
+    consumes and the verdict are those of :func:`tiered_link`. Hits are counted, not listed: each
+    form's providers are tallied by rank, and the consumer's own claim is taken off, so that
+    rows grow with the tables and not with consumers times providers. ask is the lookup
+    that decides; only an id of several consumers whose lookups differ has its hits listed, in odd.
     """
+    claims, ranks = _claims(providers), sorted(C.RANK.values())
     asked = consumes.select("consume_id", "repo", F.posexplode("lookups").alias("ord", "l")).select("consume_id", "repo", "ord", "l.*")
-    asked = asked.filter((F.col("rank") == 0) | T.alias_ok(F.col("form"), stoplist))
-    found = providers.select("family", "form", F.col("repo").alias("provider"), F.col("rank").alias("given"))
-    hits = asked.join(found, ["family", "form"]).filter(F.col("provider") != F.col("repo"))
-    hits = hits.withColumn("first", F.min("ord").over(Window.partitionBy("consume_id"))).filter("ord = first")
-    best = hits.groupBy("consume_id").agg(
-        F.array_sort(F.collect_set("provider")).alias("hits"), F.max(F.greatest("rank", "given")).alias("weakest"), F.min(F.greatest("rank", "given")).alias("strongest")
+    asked = asked.filter(((F.col("rank") == 0) | T.alias_ok(F.col("form"), stoplist)) & F.col("repo").isNotNull())
+    tally = claims.groupBy("family", "form").agg(*(F.count_if(F.col("given") == r).alias(f"n{r}") for r in ranks))
+    mine = claims.select("family", "form", F.col("provider").alias("repo"), F.col("given").alias("own"))
+    rest = {r: F.col(f"n{r}") - F.when(F.col("own") == r, 1).otherwise(0) for r in ranks}
+    given = F.coalesce(*(F.when(rest[r] > 0, r) for r in reversed(ranks)))
+    found = asked.join(tally, ["family", "form"]).join(mine, ["family", "form", "repo"], "left").filter(given.isNotNull())
+    found = found.select(
+        "consume_id", "ord", F.struct("family", "form", "repo", "rank", reduce(Column.__add__, rest.values()).alias("n"), F.greatest("rank", given).alias("weakest"), F.col("own").isNotNull().alias("mine")).alias("ask")
     )
-    out = consumes.drop("lookups").join(best, "consume_id", "left")
-    n = F.coalesce(F.size("hits"), F.lit(0))
-    n = F.when(F.col("hits").isNull(), 0).otherwise(n)
-    fan_in = (family(F.col("kind")) == "msg") & (F.col("weakest") == 0)
+    top = found.withColumn("first", F.min("ord").over(Window.partitionBy("consume_id"))).filter("ord = first")
+    best = top.groupBy("consume_id").agg(F.min("ask").alias("ask"), F.max("ask").alias("last"))
+    several = top.join(best.filter("ask <> last"), "consume_id", "left_semi").select("consume_id", "ask.family", "ask.form", "ask.repo", "ask.rank")
+    several = several.join(claims, ["family", "form"]).filter(F.col("provider") != F.col("repo"))
+    several = several.groupBy("consume_id").agg(F.array_sort(F.collect_set("provider")).alias("odd"), F.max(F.greatest("rank", "given")).alias("odd_weakest"))
+    out = consumes.drop("lookups").join(best.drop("last").join(several, "consume_id", "left"), "consume_id", "left")
+
+    n = F.when(F.col("odd").isNotNull(), F.size("odd")).otherwise(F.coalesce("ask.n", F.lit(0))).cast("int")
+    weakest = F.coalesce("odd_weakest", "ask.weakest")
+    fan_in = (family(F.col("kind")) == "msg") & (weakest == 0)
     inside = (n > 0) & ((n <= cap) | F.coalesce(fan_in, F.lit(False)))
     outside = (n == 0) & family(F.col("kind")).isin("svc", "other") & (F.coalesce("external", F.lit("")) != "")
-    tier = F.element_at(F.array(*(F.lit(t) for t in C.RANK)), F.col("weakest") + 1)
+    tier = F.element_at(F.array(*(F.lit(t) for t in C.RANK)), weakest + 1)
     return out.select(
-        *(c for c in consumes.columns if c != "lookups"), F.col("hits"), n.alias("n_hits"),
+        *(c for c in consumes.columns if c != "lookups"), n.alias("n_hits"),
         F.when(inside, "internal").when(outside, "external").otherwise("unknown").alias("bucket"),
         F.when(inside & (n > 1) & ~F.coalesce(fan_in, F.lit(False)), "ambiguous").when(inside, tier).when(outside, "derived").alias("match"),
+        F.when(F.col("odd").isNull(), F.col("ask")).alias("ask"), "odd",
     )
 
 
-def edges(linked: DataFrame) -> DataFrame:
+#: A form's list of providers is sent to one more slice of its consumers for each so many providers, and to so many at most.
+SLICE, SLICES = 1024, 256
+
+
+def listed(decided: DataFrame, providers: DataFrame) -> DataFrame:
+    """``decided`` with hits (sorted repositories, null without any) instead of ask and odd.
+
+    Each form's list is built once and joined to its consumers, which are dealt into slices: what is shuffled grows with
+    the tables, though the lists in the result may grow with consumers times providers.
+    """
+    slices = lambda n: F.least(F.ceil(n / SLICE), F.lit(SLICES))
+    lists = _claims(providers).groupBy("family", "form").agg(F.array_sort(F.collect_list("provider")).alias("provided"))
+    lists = lists.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices(F.size("provided")) - 1)))
+    n = F.coalesce(slices(F.col("ask.n") + F.col("ask.mine").cast("int")), F.lit(SLICES))
+    rows = decided.withColumns({"family": F.col("ask.family"), "form": F.col("ask.form"), "slice": F.pmod(F.xxhash64("consume_id"), n)})
+    hits = F.coalesce("odd", F.when(F.col("ask.mine"), F.array_remove("provided", F.col("ask.repo"))).otherwise(F.col("provided")))
+    kept = [c for c in decided.columns if c not in ("n_hits", "bucket", "match", "ask", "odd")]
+    return rows.join(lists, ["family", "form", "slice"], "left").select(*kept, hits.alias("hits"), "n_hits", "bucket", "match")
+
+
+def tiered_link(consumes: DataFrame, providers: DataFrame, stoplist: Sequence[str] = C.GENERIC_IDENTIFIERS, cap: int = 3) -> DataFrame:
+    """One row a consumer: consumes' columns, hits (sorted repositories), n_hits, bucket, match.
+
+    consumes (consume_id, repo, kind, key, lookups, external). Hits of the consumer's
+    own repository don't count. bucket is internal, external or unknown; match is
+    the tier, or ambiguous for several hits that aren't fan-in.
+    """
+    return listed(decide(consumes, providers, stoplist, cap), providers)
+
+
+def _answers(decided: DataFrame, providers: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and provider: a row for each hit of each row."""
+    asks = decided.filter(F.col("ask").isNotNull()).select(*keep, "ask.family", "ask.form", "ask.repo")
+    hits = asks.join(_claims(providers), ["family", "form"]).filter(F.col("provider") != F.col("repo"))
+    return hits.select(*keep, "provider").unionByName(decided.select(*keep, F.explode("odd").alias("provider")))
+
+
+def edges(decided: DataFrame, providers: DataFrame) -> DataFrame:
     """(from, to, kind, key, match), the first consumer of each signature winning."""
-    inside = linked.filter("bucket = 'internal'").select("consume_id", F.col("repo").alias("from"), F.explode("hits").alias("to"), "kind", "key", "match")
-    outside = linked.filter("bucket = 'external'").select("consume_id", F.col("repo").alias("from"), F.col("external").alias("to"), "kind", "key", "match")
-    return first_wins(inside.unionByName(outside), ["from", "to", "kind", "key"], ["consume_id"]).drop("consume_id")
+    named = decided.withColumn("from", F.col("repo"))
+    inside = _answers(named.filter("bucket = 'internal'"), providers, "consume_id", "from", "kind", "key", "match").withColumnRenamed("provider", "to")
+    outside = named.filter("bucket = 'external'").select("consume_id", "from", F.col("external").alias("to"), "kind", "key", "match")
+    return first_wins(inside.unionByName(outside), ["from", "to", "kind", "key"], ["consume_id"]).select("from", "to", "kind", "key", "match")
 
 
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -135,13 +191,27 @@ def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def bucket_counts(linked: DataFrame) -> DataFrame:
-    return linked.agg(*(F.count_if(F.col("bucket") == b).alias(b) for b in ("internal", "external", "unknown")))
+def bucket_counts(decided: DataFrame) -> DataFrame:
+    return decided.agg(*(F.count_if(F.col("bucket") == b).alias(b) for b in ("internal", "external", "unknown")))
 
 
-def unresolved(linked: DataFrame, top: int = 25) -> DataFrame:
-    """Unresolved targets by (kind, key), most repositories first."""
-    out = linked.filter("bucket = 'unknown'").groupBy("kind", "key").agg(
-        F.array_sort(F.collect_set("repo")).alias("repos"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("hits", F.array().cast("array<string>")))))).alias("candidates")
-    )
+def unresolved_keys(decided: DataFrame, top: int = 25) -> DataFrame:
+    """(kind, key, repos) of unresolved targets, most repositories first."""
+    out = decided.filter("bucket = 'unknown'").groupBy("kind", "key").agg(F.array_sort(F.collect_set("repo")).alias("repos"))
     return out.orderBy(F.desc(F.size("repos")), "key", "kind").limit(top)
+
+
+def unresolved(decided: DataFrame, providers: DataFrame, top: int = 25) -> DataFrame:
+    """Unresolved targets by (kind, key), most repositories first, with the candidates that their consumers hit.
+
+    A provider is a candidate where one who asks is another: the least or the greatest of those is, if any.
+    """
+    keys = unresolved_keys(decided, top)
+    same = lambda x, y: F.col(f"{x}.kind").eqNullSafe(F.col(f"{y}.kind")) & F.col(f"{x}.key").eqNullSafe(F.col(f"{y}.key"))
+    rows = decided.filter("bucket = 'unknown'").alias("d").join(F.broadcast(keys.select("kind", "key")).alias("k"), same("d", "k"), "left_semi")
+    asks = rows.filter(F.col("ask").isNotNull()).groupBy("kind", "key", "ask.family", "ask.form").agg(F.min("ask.repo").alias("least"), F.max("ask.repo").alias("most"))
+    hits = asks.join(_claims(providers), ["family", "form"]).filter((F.col("provider") != F.col("least")) | (F.col("provider") != F.col("most")))
+    hits = hits.select("kind", "key", "provider").unionByName(rows.select("kind", "key", F.explode("odd").alias("provider")))
+    found = hits.groupBy("kind", "key").agg(F.array_sort(F.collect_set("provider")).alias("candidates"))
+    out = keys.alias("k").join(found.alias("f"), same("k", "f"), "left")
+    return out.select("k.kind", "k.key", "repos", F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates")).orderBy(F.desc(F.size("repos")), "key", "kind")
